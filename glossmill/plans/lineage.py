@@ -19,13 +19,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder, from where a lost executor's part is read again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept in the checkpoint folder, from where a lost executor's part is read again.
+
+    The shuffle files that led to it are dropped as soon as it is written.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new plan: the setting is read as a plan is made
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of results that are no longer referenced."""
+    """Let Spark's cleaner drop checkpoint files of results that are no longer referenced."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
