@@ -3,14 +3,14 @@
 1. Texts with equal shingle sets form one class, represented by its least id.
 2. A shingle that only one class of the corpus holds can't be shared. A set of n shingles with fewer than
    threshold * n shared ones has no partner and is done (exchange.py tells which are shared).
-3. Of the other sets, each prefix shingle in global (hash) order points to the least class holding it in its
-   prefix; the components of these pointers are families. Two sets that link share a prefix shingle, so they
-   are in one family.
-4. A family's sets, in global order, are walked as a prefix tree: one overlap counter for each set of the
+3. The other sets' shingles are put in global order, the rarest first, so that passages which many documents
+   share come last. Each prefix shingle points to the least class holding it in its prefix; the components of
+   these pointers are families. Two sets that link share a prefix shingle, so they are in one family.
+4. A family's sets, in one order, are walked as a prefix tree: one overlap counter for each set of the
    family is kept along the path, so sets with a common prefix share that work; a subtree is left as soon as
    its remaining length can't lift any counter of another component to the bound.
-5. A family above ``FAMILY`` sets is first tested against a few hubs, set by set, each of which settles what
-   links to it. What no hub settles meets the whole family, block against block. No link is lost.
+5. A family above ``FAMILY`` sets is first tested against its hub, set by set, which settles what links to
+   it. What the hub doesn't settle meets the whole family, block against block. No link is lost.
 
 Nulls: null or wordless texts have an empty set and are linked with nothing; a row with a null id never names
 a component, and its own is null unless it joins another's. Repeated rows keep a row each. Empty tables give
@@ -36,7 +36,8 @@ from .components import components
 N = 5
 PERCENT = 80
 FAMILY = 128
-HUBS = 3
+BLOCK = 512
+HUBS = 1
 _COARSE = np.uint64(16)  # low bits left out when asking which shingles are shared: a filter may pass too much
 
 
@@ -202,14 +203,17 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = N, fami
     held = rows.where("arr is not null").groupBy(*class_of).agg(F.first("arr").alias("arr"))
     sets = cut(held.join(named, class_of).where("rep is not null").select("rep", "n", "arr"))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rep, size, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                s = np.frombuffer(blob, np.uint64)
-                s = s[: len(s) - need(size, percent) + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), rep, np.int64))], ["token", "rep"])
-
-    tokens = sets.select("rep", "n", "arr").mapInArrow(prefixes, "token long, rep long")
+                s = np.frombuffer(blob, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), rep, np.int64)), pa.array(np.full(len(s), need(size, percent), np.int32))], ["token", "rep", "need"])
+
+    every = sets.select("rep", "n", "arr").mapInArrow(unfold, "token long, rep long, need int")
+    held_by = cut(every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    whole = Window.partitionBy("rep")
+    ranked = every.join(held_by, "token").withColumn("place", F.row_number().over(whole.orderBy("df", "token"))).withColumn("shared", F.count("*").over(whole))
+    tokens = cut(ranked.where("place <= shared - need + 1").select("token", "rep"))
     # a small unique side that is cut off leaves the join free to split a hot token, family or class
     least = cut(tokens.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("token", "low"))
     pointers = tokens.join(least, "token").where("rep <> low").select("rep", "low").distinct()
@@ -228,22 +232,22 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = N, fami
     if large.limit(1).count():
         to_hubs, left = _hub_links(large, percent, HUBS)
         links = links.union(to_hubs.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-        links = links.union(_blockwise(large, left, to_hubs, percent, family))
+        links = links.union(_blockwise(large, left, to_hubs, percent, max(family, BLOCK)))
     joined = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     classes = cut(named.join(joined, "rep", "left").select(*class_of, F.coalesce("component", "rep").alias("component")))
     return rows.join(classes, class_of, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _blockwise(members: DataFrame, left: DataFrame, settled: DataFrame, percent: int, family: int) -> DataFrame:
+def _blockwise(members: DataFrame, left: DataFrame, settled: DataFrame, percent: int, block: int) -> DataFrame:
     """Links between the sets that no hub settled and their whole families, a block of each against each."""
     open_ones = left.select("rep", "fam", "n", "arr")
     known = settled.groupBy("rep").agg(F.min("hub").alias("hub"))
-    deal = lambda size: F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col(size) / family), F.lit(1))).cast("int")
+    deal = lambda size: F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col(size) / block), F.lit(1))).cast("int")
     n_open = cut(open_ones.groupBy("fam").agg(F.count("*").alias("n_open")))
     n_all = cut(members.groupBy("fam").agg(F.count("*").alias("n_all")))
     sides = open_ones.join(n_open, "fam").join(n_all, "fam")
-    rows = sides.withColumn("ub", deal("n_open")).withColumn("fb", F.explode(F.sequence(F.lit(0), (F.greatest(F.ceil(F.col("n_all") / family), F.lit(1)) - 1).cast("int")))).select("fam", "ub", "fb", "rep", "n", "arr", F.lit(True).alias("probe"), F.lit(None).cast("long").alias("hub"))
-    rest = members.select("rep", "fam", "n", "arr").join(n_open, "fam").join(n_all, "fam").join(known, "rep", "left").withColumn("fb", deal("n_all")).withColumn("ub", F.explode(F.sequence(F.lit(0), (F.greatest(F.ceil(F.col("n_open") / family), F.lit(1)) - 1).cast("int")))).select("fam", "ub", "fb", "rep", "n", "arr", F.lit(False).alias("probe"), "hub")
+    rows = sides.withColumn("ub", deal("n_open")).withColumn("fb", F.explode(F.sequence(F.lit(0), (F.greatest(F.ceil(F.col("n_all") / block), F.lit(1)) - 1).cast("int")))).select("fam", "ub", "fb", "rep", "n", "arr", F.lit(True).alias("probe"), F.lit(None).cast("long").alias("hub"))
+    rest = members.select("rep", "fam", "n", "arr").join(n_open, "fam").join(n_all, "fam").join(known, "rep", "left").withColumn("fb", deal("n_all")).withColumn("ub", F.explode(F.sequence(F.lit(0), (F.greatest(F.ceil(F.col("n_open") / block), F.lit(1)) - 1).cast("int")))).select("fam", "ub", "fb", "rep", "n", "arr", F.lit(False).alias("probe"), "hub")
 
     def meet(table: pa.Table) -> pa.Table:
         frame = table.select(["rep", "n", "probe", "hub"]).to_pandas()
