@@ -9,7 +9,7 @@ suffix order isn't needed, only suffixes compared to depth LENGTH, and only wher
 2. Two equal strings of LENGTH bytes agree at that sample place, so a suffix none of whose sample places
    within V has a shared rank is unique: this settles nearly all suffixes without sorting them.
 3. The other suffixes are cut into buckets by their key, the 64-bit hash of their first LENGTH bytes, and
-   each bucket is sorted by itself; equal neighbours are repeats. Ties of any length and of any number cost
+   each bucket is sorted by itself, in PASSES rounds; equal neighbours are repeats. Ties of any length and of any number cost
    one key a chunk, and a bucket's size is fixed, so memory is bounded whatever repeats.
 
 Matches don't cross documents and are judged on the input: every copy of a repeat goes. Nulls: a null text is
@@ -33,6 +33,7 @@ from . import exchange as ex
 from . import textscan as ts
 
 LENGTH = 200
+PASSES = 2  # a power of two: so many blocks of suffix buckets are sorted one after the other, which bounds the disk needed
 Q = 11  # the cover's modulus is Q*Q + Q + 1 = 133
 _COARSE = np.uint64(16)
 _INVERSE = np.uint64(pow(int(ts.powers(2)[1]), -1, 1 << 64))
@@ -122,6 +123,16 @@ def suffix_keys(texts: list[bytes], ranks: np.ndarray, length: int = LENGTH, q:
     return np.concatenate(keys), places
 
 
+def _keys_of_pass(number: int, length: int, q: int):
+    """Only the keys whose top bits are ``number``: the suffix buckets of one pass."""
+
+    def keys(batch: pa.RecordBatch, shared: np.ndarray) -> np.ndarray:
+        found = suffix_keys(ts.texts_of(batch, "text"), shared, length, q)[0]
+        return found[found >> np.uint64(64 - (PASSES.bit_length() - 1)) == number]
+
+    return keys
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for each row of ``docs`` (doc_id, text).
 
@@ -132,7 +143,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     total = ex.corpus_bytes(chunks)
     ranks = cut(ex.occurs_again(chunks, lambda batch: sample_keys(ts.texts_of(batch, "text"), length, q), ex.bucket_count(total // (q - 1))))
     release(spark)
-    again = cut(ex.occurs_again(chunks, lambda batch, shared: suffix_keys(ts.texts_of(batch, "text"), shared, length, q)[0], ex.bucket_count(total // 4), ranks))
+    again = None
+    for half in range(PASSES):
+        found = cut(ex.occurs_again(chunks, _keys_of_pass(half, length, q), ex.bucket_count(total // 4), ranks))
+        again = found if again is None else again.union(found)
     release(spark)
 
     def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
