@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Character classes, clitics, spelling marks, label order.
 SPACE = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\p{Z}"
@@ -45,7 +46,7 @@ LABELS = (*LANGUAGES, "univ")
 SOURCES = ("router", "lexicon", "classifier", "context")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no built-in for it."""
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
