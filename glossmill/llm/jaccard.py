@@ -38,6 +38,7 @@ PERCENT = 80
 FAMILY = 128
 BLOCK = 512
 HUBS = 1
+BROADCAST_FAMILIES = 10_000
 _COARSE = np.uint64(16)  # low bits left out when asking which shingles are shared: a filter may pass too much
 
 
@@ -243,11 +244,12 @@ def _blockwise(members: DataFrame, left: DataFrame, settled: DataFrame, percent:
     open_ones = left.select("rep", "fam", "n", "arr")
     known = settled.groupBy("rep").agg(F.min("hub").alias("hub"))
     deal = lambda size: F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col(size) / block), F.lit(1))).cast("int")
-    n_open = cut(open_ones.groupBy("fam").agg(F.count("*").alias("n_open")))
-    n_all = cut(members.groupBy("fam").agg(F.count("*").alias("n_all")))
-    sides = open_ones.join(n_open, "fam").join(n_all, "fam")
-    rows = sides.withColumn("ub", deal("n_open")).withColumn("fb", F.explode(F.sequence(F.lit(0), (F.greatest(F.ceil(F.col("n_all") / block), F.lit(1)) - 1).cast("int")))).select("fam", "ub", "fb", "rep", "n", "arr", F.lit(True).alias("probe"), F.lit(None).cast("long").alias("hub"))
-    rest = members.select("rep", "fam", "n", "arr").join(n_open, "fam").join(n_all, "fam").join(known, "rep", "left").withColumn("fb", deal("n_all")).withColumn("ub", F.explode(F.sequence(F.lit(0), (F.greatest(F.ceil(F.col("n_open") / block), F.lit(1)) - 1).cast("int")))).select("fam", "ub", "fb", "rep", "n", "arr", F.lit(False).alias("probe"), "hub")
+    counts = cut(members.groupBy("fam").agg(F.count("*").alias("n_all")).join(open_ones.groupBy("fam").agg(F.count("*").alias("n_open")), "fam"))
+    if counts.count() <= BROADCAST_FAMILIES:  # large families are few; beyond this many, the joins are left to shuffle
+        counts = F.broadcast(counts)
+    last = lambda size: (F.greatest(F.ceil(F.col(size) / block), F.lit(1)) - 1).cast("int")
+    rows = open_ones.join(counts, "fam").withColumn("ub", deal("n_open")).withColumn("fb", F.explode(F.sequence(F.lit(0), last("n_all")))).select("fam", "ub", "fb", "rep", "n", "arr", F.lit(True).alias("probe"), F.lit(None).cast("long").alias("hub"))
+    rest = members.select("rep", "fam", "n", "arr").join(known, "rep", "left").join(counts, "fam").withColumn("fb", deal("n_all")).withColumn("ub", F.explode(F.sequence(F.lit(0), last("n_open")))).select("fam", "ub", "fb", "rep", "n", "arr", F.lit(False).alias("probe"), "hub")
 
     def meet(table: pa.Table) -> pa.Table:
         frame = table.select(["rep", "n", "probe", "hub"]).to_pandas()

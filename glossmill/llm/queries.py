@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, quality, sharding, simhash, spans, suffixes, warc
+from . import bpe, html, jaccard, packing, quality, sharding, simhash, spans, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_next(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_warc, op3_quality, op5_simhash, op6_suffixes, op7_sharding, op8_bpe, op9_spans, op10_jaccard, pipeline)
+    found = (op1_packing, op2_warc, op3_quality, op4_html, op5_simhash, op6_suffixes, op7_sharding, op8_bpe, op9_spans, op10_jaccard, pipeline)
     return {f.__name__: f for f in found}
 
 
