@@ -1,7 +1,7 @@
 """WARC archives: written by Spark's text sink, read by a Python data source.
 
 Writing: a record is one string of header, blank line and payload bytes, and the sink's line separator is the
-record's end (CR LF CR LF), so archives are written in parallel, to any file system of Spark's, under its
+record's end (CR LF CR LF), so gzip archives are written in parallel, to any file system of Spark's, under its
 commit protocol. Of records with equal payloads of ``least`` bytes or more, that of the smallest id is a
 response and the others are revisits without payload that refer to it.
 
@@ -70,7 +70,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
         line("Content-Type", F.lit("text/html")), line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"),
     )
     lines = rows.select(F.concat(F.encode(header, "UTF-8"), body).cast("string").alias("value"))
-    lines.write.mode("errorifexists").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.write.mode("errorifexists").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 @dataclass
