@@ -3,7 +3,11 @@
 Pieces are dealt by hash into groups of about GROUP pieces, as many groups as the corpus needs; each group is
 packed by itself, largest piece first. With N[g] open sequences of gap g, a piece of length s goes where the
 sum of N[g]**2 becomes smallest: into an open sequence of some gap g >= s, or into a new one. Ties go to the
-tightest gap. Only a histogram of gaps steers the choice, so memory doesn't grow with the open sequences.
+tightest gap. The pieces of sequences that stay open are then placed once more, with new sequences only where
+no gap fits. Only a histogram of gaps steers the choice, so memory doesn't grow with the open sequences.
+
+Nulls: a null text is empty and gives one piece, the end token; rows with null or equal ids are packed a row
+each. Empty tables give empty results; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -118,18 +122,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(split, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece, in the order given."""
+def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY, thrifty: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece, in the order given; ``thrifty``: a new sequence only where no gap fits."""
     count = np.zeros(capacity + 1, np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     used: list[int] = []
     seq, off = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     for i, s in enumerate(sizes.tolist()):
-        # N[g] -> N[g] - 1 and N[g - s] -> N[g - s] + 1 change the sum by 2 (N[g - s] - N[g] + 1)
-        change = count[: capacity - s + 1] - count[s:]
-        change[0] = -count[s] - (count[s] > 0) * capacity  # a gap of exactly s is closed: never worse
+        # N[g] -> N[g] - 1 and N[g - s] -> N[g - s] + 1 change the sum by 2 (N[g - s] - N[g]) + 2; below, less by 2
+        change = 2 * (count[: capacity - s + 1] - count[s:])
+        change[0] = -2 * count[s] - 1  # a gap of exactly s is closed
         change[count[s:] == 0] = np.iinfo(np.int64).max
-        change[capacity - s] = count[capacity - s] if s < capacity else 0  # a new sequence
+        change[capacity - s] = 2 * count[capacity - s] - 1 if s < capacity else 0  # a new sequence
+        if thrifty and s < capacity and count[s:capacity].any():
+            change[capacity - s] = np.iinfo(np.int64).max
         g = int(change.argmin()) + s
         if g == capacity:
             b = len(used)
@@ -145,6 +151,18 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return seq, off
 
 
+def pack_group(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece by two rounds: what is in sequences that stay open is placed once more, thriftily."""
+    seq, off = sum_of_squares(sizes, capacity)
+    fill = np.bincount(seq, sizes)
+    again = (fill < capacity)[seq] if len(sizes) else np.zeros(0, bool)
+    if again.any():
+        seq2, off2 = sum_of_squares(sizes[again], capacity, True)
+        if seq2.max() + 1 < (fill < capacity).sum():
+            seq[again], off[again] = seq2 + len(fill), off2
+    return seq, off
+
+
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``parts`` with the sequence each piece is put in and its offset there."""
     parts = cut(parts)
@@ -153,7 +171,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
-        seq, off = sum_of_squares(frame["length"].to_numpy(np.int64), capacity)
+        seq, off = pack_group(frame["length"].to_numpy(np.int64), capacity)
         frame["sequence_id"] = seq + (frame["grp"].to_numpy(np.int64) << 40)
         frame["offset"] = off
         return frame.drop(columns="grp")
