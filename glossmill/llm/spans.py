@@ -1,10 +1,11 @@
 """Substring dedup over sliding sentence spans.
 
 A sentence ends with the word that ends in . ! or ? (closing quotes or brackets may follow), or at the end of
-a line; sentences of over LONG words are cut every LONG words. Every run of RUN consecutive sentences with
-LEAST words or more is hashed by its words and looked up in the whole corpus. Of equal runs the first, by
-(doc_id, place), stays; each sentence that a later one covers is removed, with the white space behind it. The
-rest of a text stays byte for byte.
+a line. A sentence of over LONG words is cut behind every word whose hash has its top three bits unset, so that
+a passage is cut alike wherever it starts, and after CAP words without one; the parts count as sentences.
+From every sentence on, the run of the fewest sentences, RUN at least, with LEAST words or more is hashed by
+its words and looked up in the whole corpus. Of equal runs the first, by (doc_id, place), stays; each sentence
+that a later one covers is removed, with the white space behind it. The rest of a text stays byte for byte.
 
 Nulls: a null text stays null and has no sentences; a row with a null id comes after all others. Repeated
 rows are different documents here: the first keeps what the others lose. Empty tables give empty results.
@@ -26,7 +27,9 @@ from . import textscan as ts
 
 RUN = 2
 LEAST = 12
-LONG = 24
+LONG = 16
+CAP = 24
+_INVERSE = np.uint64(pow(int(ts.powers(2)[1]), -1, 1 << 64))
 _COARSE = np.uint64(8)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
@@ -45,34 +48,39 @@ def sentences(w: ts.Words) -> np.ndarray:
     ends = _STOP[w.buf[last]]
     ends[:-1] |= lines[w.start[1:]] > lines[w.end[:-1]]  # a text ends with a newline, so it ends a sentence too
     ends[-1] = True
+    total = len(w.hash)
     head = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
-    place = np.arange(len(w.hash)) - np.repeat(head, np.diff(np.append(head, len(w.hash))))
-    return np.append(np.flatnonzero(place % LONG == 0), len(w.hash))
+    size = np.diff(np.append(head, total))
+    ends |= np.repeat(size > LONG, size) & (w.hash >> np.uint64(61) == 0)
+    head = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
+    place = np.arange(total) - np.repeat(head, np.diff(np.append(head, total)))
+    return np.append(np.flatnonzero(place % CAP == 0), total)
 
 
-def runs(texts: list[bytes], run: int = RUN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Hash, text and first sentence of each run of a list of texts; byte places of each text's sentences."""
-    found, places = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], []
+def runs(texts: list[bytes], run: int = RUN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Hash, text, first sentence and number of sentences of each run of a list of texts; byte places of each text's sentences."""
+    none = np.zeros(0, np.int64)
+    found, places = [(np.zeros(0, np.uint64), none, none, none)], []
     for i, part in ts.blocks(texts):
         w = ts.scan_words(part)
         head = sentences(w)
-        size = np.diff(head)
         of = w.doc[head[:-1]]
         first = np.searchsorted(of, np.arange(len(part) + 1))
         for k in range(len(part)):
             a, b = first[k], first[k + 1]
-            places.append(np.append(w.start[head[a:b]] - w.doc_start[k], len(part[k])) if b > a else np.zeros(0, np.int64))
-        if len(of) < run:
-            continue
-        within = np.arange(len(w.hash)) - np.repeat(head[:-1], size)
-        one = ts.mix(np.add.reduceat(w.hash * ts.powers(LONG + 1)[within + 1], head[:-1]) ^ size.astype(np.uint64))
-        m = len(of) - run + 1
-        h = np.zeros(m, np.uint64)
-        for k in range(run):
-            h += one[k : k + m] * ts.powers(run + 2)[k + 1]
-        words = head[run : run + m] - head[:m]
-        take = np.flatnonzero((of[:m] == of[run - 1 :]) & (words >= least))
-        found.append((ts.mix(h[take]), of[take] + i, take - first[of[take]]))
+            places.append(np.append(w.start[head[a:b]] - w.doc_start[k], len(part[k])) if b > a else none)
+        begin = np.arange(len(of))
+        stop = np.maximum(begin + run, np.searchsorted(head, head[:-1] + least))
+        take = np.flatnonzero(stop <= first[of + 1])
+        begin, stop = begin[take], stop[take]
+        n = len(w.hash)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * ts.powers(n + 1)[:n], dtype=np.uint64)])
+        back = np.full(n + 1, _INVERSE, np.uint64)
+        back[0] = 1
+        back = np.cumprod(back, dtype=np.uint64)
+        a, b = head[begin], head[stop]
+        h = ts.mix((sums[b] - sums[a]) * back[a] ^ ts.mix((b - a).astype(np.uint64)))
+        found.append((h, of[take] + i, begin - first[of[take]], stop - begin))
     return *(np.concatenate(x) for x in zip(*found, strict=True)), places
 
 
@@ -86,18 +94,18 @@ def remove_spans(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFra
         return runs(ts.texts_of(batch, "text"), run, least)[0] >> _COARSE << _COARSE
 
     def repeated(batch: pa.RecordBatch, again: np.ndarray) -> pa.Table:
-        h, text, at, _ = runs(ts.texts_of(batch, "text"), run, least)
+        h, text, at, size, _ = runs(ts.texts_of(batch, "text"), run, least)
         _, which = np.unique(h >> _COARSE << _COARSE, return_inverse=True)
         hit = np.flatnonzero(again[which]) if len(h) else np.zeros(0, np.int64)
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        return pa.table({"hash": pa.array(h[hit].view(np.int64)), "doc_id": ids.take(pa.array(text[hit])), "row": pa.array(text[hit]), "at": pa.array(at[hit])})
+        return pa.table({"hash": pa.array(h[hit].view(np.int64)), "doc_id": ids.take(pa.array(text[hit])), "row": pa.array(text[hit]), "at": pa.array(at[hit]), "size": pa.array(size[hit])})
 
     answers = ex.occurs_again(chunks, keys, ex.bucket_count(ex.corpus_bytes(chunks) // 40))
     hits = cut(_with_chunk(chunks, answers, repeated))
     release(spark)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "chunk", "row", "at")
     firsts = cut(hits.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first"))
-    later = hits.join(firsts, "hash").where(order > F.col("first")).select("chunk", "row", "at").distinct()
+    later = hits.join(firsts, "hash").where(order > F.col("first")).select("chunk", "row", "at", "size").distinct()
 
     shape = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -106,10 +114,10 @@ def remove_spans(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFra
         texts = ts.texts_of(batch, "text")
         at_text = batch.schema.get_field_index("text")
         null = batch.column(at_text).is_null().to_pylist()
-        places = runs(texts, run, least)[3]
+        places = runs(texts, run, least)[-1]
         gone: dict[int, set[int]] = {}
-        for row, at in zip(right["row"].to_pylist(), right["at"].to_pylist(), strict=True):
-            gone.setdefault(row, set()).update(range(at, at + run))
+        for row, at, size in zip(*(right[c].to_pylist() for c in ("row", "at", "size")), strict=True):
+            gone.setdefault(row, set()).update(range(at, at + size))
         out, total, lost = [], [], []
         for i, t in enumerate(texts):
             cut_out = gone.get(i, ())
@@ -132,4 +140,4 @@ def _with_chunk(chunks: DataFrame, answers: DataFrame, work) -> DataFrame:
         out = work(ex.unpack(left["payload"][0].as_py()), ex.flags_of(right))
         return out.append_column("chunk", pa.array([left["chunk"][0].as_py()] * out.num_rows, pa.int64()))
 
-    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, "hash long, doc_id long, row long, at long, chunk long")
+    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, "hash long, doc_id long, row long, at long, size long, chunk long")
