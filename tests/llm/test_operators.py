@@ -118,6 +118,10 @@ def test_quality(spark, docs, empty, labels):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(again))
         assert r.base_failed == (len(w) < 20 or 100 * len(again) > 30 * len(w)) and r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
     assert quality.quality(empty, labels).count() == 0
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i:] + words[:i])) for i in range(30)] + [(99, " ".join(w for w in words[:12] for _ in range(5)))]
+    stuck = quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int"))
+    assert [r.doc_id for r in stuck.where("not kept").collect()] == [99]  # words repeated in place
     assert quality.quality(docs, labels.limit(0)).where("llr <> 0").count() == 0
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
@@ -221,16 +225,60 @@ def test_bpe(docs, empty):
     assert [i.tolist() for i, _ in bpe.codec(path).encode([t.encode() for t in texts])] == [e.encode_ordinary(t) for t in texts]
 
 
-def test_spans(docs, empty):
-    got = {(r.doc_id, r.n_removed): r for r in spans.remove_spans(docs).collect()}
-    assert len(spans.remove_spans(docs).columns) == len(docs.columns) + 2
-    by = {}
-    for r in got.values():
-        by.setdefault(r.doc_id, []).append(r)
-    assert by[2][0].text == "" and by[2][0].n_removed == by[2][0].n_sentences and by[5][0].text is None
-    assert by[1][0].text.startswith("One two three") and by[1][0].n_removed == 3  # its own second half repeats
-    assert by[8][0].n_removed == 0 and by[12][0].text == dict(ROWS)[12]
-    assert sorted(r.n_removed for r in spans.remove_spans(docs).where("doc_id = 10").collect())[0] == 0
+def sentences_of(text):
+    """(first byte, words) of each sentence of a text, a word at a time."""
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    out, now = [], []
+    for k, (a, b, w) in enumerate(words):
+        now.append((a, w))
+        tail = w
+        for _ in range(3):
+            if len(tail) > 1 and tail[-1:] in b"\"')]}":
+                tail = tail[:-1]
+        if tail[-1:] in b".!?" or k + 1 == len(words) or b"\n" in text[b : words[k + 1][0]]:
+            part = []
+            for a2, w2 in now:
+                part.append((a2, w2))
+                anchor = len(now) > spans.LONG and int(ts.scan_words([w2]).hash[0]) >> 61 == 0
+                if anchor or len(part) == spans.CAP:
+                    out.append(part)
+                    part = []
+            if part:
+                out.append(part)
+            now = []
+    return out
+
+
+def test_spans(spark, docs, empty):
+    passage = "first we met the old keeper of the northern light and then we walked along the shore until the tide turned and nobody could say how the boats had come back without a single lamp burning in the windows of the houses on the long grey hill above"
+    more = [(20, "Alpha beta gamma " + passage + " omega. Last words stay."), (21, "Quite another start of a long line with its own words before " + passage + " and an end."), (22, "In. " * 40), (23, 'He said "no." (Yes!) ' * 9 + "\n\n" + "x y z\n" * 9)]
+    rows = [*ROWS, *more]
+    table = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    cut_up = [(i, (t or "").encode(), sentences_of((t or "").encode())) for i, t in rows]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    seen, gone = set(), {k: set() for k in order}
+    for k in order:
+        parts = cut_up[k][2]
+        for a in range(len(parts)):
+            b = a + spans.RUN
+            while b <= len(parts) and sum(map(len, parts[a:b])) < spans.LEAST:
+                b += 1
+            if b <= len(parts):
+                run = tuple(w for p in parts[a:b] for _, w in p)
+                if run in seen:
+                    gone[k].update(range(a, b))
+                seen.add(run)
+    want = []
+    for k, (i, t, parts) in enumerate(cut_up):
+        at = [p[0][0] for p in parts] + [len(t)]
+        left = t[: at[0]] + b"".join(t[at[j] : at[j + 1]] for j in range(len(parts)) if j not in gone[k])
+        want.append((i, None if rows[k][1] is None else left.decode(), len(parts), len(gone[k])))
+    got = spans.remove_spans(table)
+    assert len(got.columns) == len(docs.columns) + 2
+    assert sorted(((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got.collect()), key=key) == sorted(want, key=key)
+    by = {w[0]: w for w in want}
+    assert by[22][1] == "In. " and "shore until the tide turned" in by[20][1] and "shore until the tide turned" not in by[21][1]
+    assert by[21][1].startswith("Quite another start") and by[12][1] == dict(ROWS)[12]
     assert spans.remove_spans(empty).count() == 0
 
 
