@@ -121,6 +121,33 @@ WITH RECURSIVE words AS (
 SELECT doc_id, n AS n_shingles, least_id AS component_id FROM sizes JOIN (SELECT x, min(y) AS least_id FROM reach GROUP BY x) ON x = doc_id
 """
 
+SUFFIX_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), starts AS (
+  SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM texts WHERE octet_length(b) >= 200
+), keys AS (
+  SELECT r, i, md5_number(b[i:i + 199]) AS k FROM starts
+), hits AS (
+  SELECT r, i FROM keys WHERE k IN (SELECT k FROM keys GROUP BY k HAVING count(*) > 1)
+), marked AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM hits
+), numbered AS (
+  SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM marked
+), spans AS (
+  SELECT r, min(i) AS a, max(i) + 199 AS z FROM numbered GROUP BY r, run
+), gaps AS (
+  SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS f FROM spans
+), lasts AS (
+  SELECT r, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS z FROM spans GROUP BY r
+), heads AS (
+  SELECT r, string_agg(hex(b[f:a - 1]), '' ORDER BY a) AS h FROM gaps JOIN texts USING (r) WHERE a > f GROUP BY r
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(h, '') || CASE WHEN coalesce(z, 0) < octet_length(b) THEN hex(b[coalesce(z, 0) + 1:octet_length(b)]) ELSE '' END)) AS kept_sha256
+FROM texts LEFT JOIN lasts USING (r) LEFT JOIN heads USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op10_jaccard": JACCARD_SQL}
+    return {"op2_warc": WARC_SQL, "op6_suffixes": SUFFIX_SQL, "op10_jaccard": JACCARD_SQL}
