@@ -81,6 +81,21 @@ FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, ''))
 """
 
 
+def _crc32_sql(blob: str, table: str = "crc") -> str:
+    """CRC-32 of a blob, a byte at a time; ``table`` names a column with the list that _CRC gives."""
+    values = f"list_transform(range(1, octet_length({blob}) + 1), lambda i: CAST('0x' || hex({blob}[i:i]) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, x: xor(c >> 8, {table}[CAST(1 + (xor(c, x) & 255) AS BIGINT)])), 4294967295::BIGINT)"
+
+
+def _crc_step(value: int) -> int:
+    for _ in range(8):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+_CRC = f"[{', '.join(str(_crc_step(i)) for i in range(256))}]::BIGINT[]"
+
+
 def _sharding_sql(shards: int = 40) -> str:
     fraction = lambda text: f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE)"
     key = "coalesce(CAST(doc_id AS VARCHAR), '')"
@@ -99,9 +114,9 @@ def _sharding_sql(shards: int = 40) -> str:
         return rows
 
     tree = sharding.layout(shards)
-    rows = f"SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, 'key' AS law, {fraction(key + " || ':slot'")} AS h FROM documents"
+    rows = f"SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, {_crc32_sql('b')} AS text_crc32, 'key' AS law, {fraction(key + " || ':slot'")} AS h FROM (SELECT *, encode(coalesce(text, '')) AS b, {_CRC} AS crc FROM documents)"
     rows = step(step(rows, tree, "now"), sharding.grown(tree), "more")
-    return f"SELECT doc_id, size, law, now_s AS shard, row_number() OVER (PARTITION BY now_s ORDER BY h, {key}) - 1 AS slot, more_s AS grown_shard FROM ({rows})"
+    return f"SELECT doc_id, size, text_crc32, law, now_s AS shard, row_number() OVER (PARTITION BY now_s ORDER BY h, {key}) - 1 AS slot, more_s AS grown_shard FROM ({rows})"
 
 
 JACCARD_SQL = r"""
@@ -150,4 +165,4 @@ FROM texts LEFT JOIN lasts USING (r) LEFT JOIN heads USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op6_suffixes": SUFFIX_SQL, "op10_jaccard": JACCARD_SQL}
+    return {"op2_warc": WARC_SQL, "op6_suffixes": SUFFIX_SQL, "op7_sharding": _sharding_sql(), "op10_jaccard": JACCARD_SQL}
