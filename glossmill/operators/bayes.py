@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,3 +87,37 @@ def save(model: Model, path: str) -> None:
 def load(spark, path: str) -> Model:
     rows = spark.read.parquet(f"{path}/stats").orderBy("place").collect()
     return Model(spark.read.parquet(f"{path}/grams"), [(r["label"], r["total"], r["log_prior"]) for r in rows], rows[0]["vocabulary"], tuple(r["label"] for r in rows), rows[0]["longest"], rows[0]["alpha"], rows[0]["temper"])
+
+
+JSON = "labels array<string>, n_max int, alpha double, temp_power double, log_priors map<string,double>, totals map<string,bigint>, vocab_size bigint, counts map<string,map<string,bigint>>"
+
+
+def prune(model: Model, least: int) -> Model:
+    """The model without grams counted fewer than ``least`` times in all; totals and vocabulary follow, priors stay."""
+    all_of = sum((F.col(x) for x in model.labels[1:]), F.col(model.labels[0]))
+    grams = model.grams.where(all_of >= least)
+    row = grams.agg(F.count("*").alias("_v"), *(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in model.labels)).first()
+    return replace(model, grams=grams, stats=[(x, row[x], p) for x, _, p in model.stats], vocabulary=row["_v"])
+
+
+def save_json(model: Model, path: str) -> None:
+    """The model as one JSON object, for hosts without Spark; meant for pruned models, as one task writes it."""
+    counts = model.grams.agg(*(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(x) > 0, F.struct("gram", F.col(x).alias("n")))))).alias(x) for x in model.labels))
+    by_label = lambda at: F.create_map(*(v for s in model.stats for v in (F.lit(s[0]), F.lit(s[at]))))
+    row = counts.select(
+        F.array(*map(F.lit, model.labels)).alias("labels"), F.lit(1).alias("n_min"), F.lit(model.longest).alias("n_max"), F.lit(model.alpha).alias("alpha"), F.lit(model.temper).alias("temp_power"),
+        by_label(2).alias("log_priors"), by_label(1).alias("totals"), F.lit(model.vocabulary).alias("vocab_size"), F.create_map(*(v for x in model.labels for v in (F.lit(x), F.col(x)))).alias("counts"),
+    )
+    row.coalesce(1).write.json(path)
+
+
+def load_json(spark, path: str) -> Model:
+    """A model of one JSON object with these fields; ``temp_power`` may be missing and is 0.5 then."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", JSON).alias("m")).select("m.*")
+    head = rows.drop("counts").first()
+    if head is None or not head["labels"] or head["log_priors"] is None or head["totals"] is None:
+        raise ValueError(f"{path}: not a model")
+    labels = tuple(head["labels"])
+    flat = rows.select(F.explode("counts").alias("label", "grams")).select("label", F.explode("grams").alias("gram", "n"))
+    temper = 0.5 if head["temp_power"] is None else head["temp_power"]
+    return Model(wide(flat, labels), [(x, head["totals"].get(x, 0), head["log_priors"][x]) for x in labels], head["vocab_size"], labels, head["n_max"], head["alpha"], temper)
