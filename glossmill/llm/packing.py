@@ -1,13 +1,14 @@
 """Sum-of-squares packing of tokenised documents into sequences.
 
 Pieces are dealt by hash into groups of about GROUP pieces, as many groups as the corpus needs; each group is
-packed by itself, largest piece first. With N[g] open sequences of gap g, a piece of length s goes where the
+packed by itself, largest piece first (ids order equal lengths, nulls last). With N[g] open sequences of gap g, a piece of length s goes where the
 sum of N[g]**2 becomes smallest: into an open sequence of some gap g >= s, or into a new one. Ties go to the
 tightest gap. The pieces of sequences that stay open are then placed once more, with new sequences only where
 no gap fits. Only a histogram of gaps steers the choice, so memory doesn't grow with the open sequences.
 
 Nulls: a null text is empty and gives one piece, the end token; rows with null or equal ids are packed a row
-each. Empty tables give empty results; columns other than doc_id and text are not read.
+each, dealt to groups by their place too, so one id may hold any share of the rows. Ids stay 64-bit integers all
+the way. Texts may hold the tokenizer's special tokens, which are encoded as the library does by default. Empty tables give empty results; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,16 +20,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.plans.lineage import cut
 
-from . import textscan as ts
-
 CAPACITY = 4096
 END = 1
 GROUP = 1 << 15
@@ -43,17 +42,18 @@ WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9²³¹¼-¾]|[^\t-\
 class WordTokenizer:
     """A tokenizers file whose words are encoded once each and then looked up; exact for every text.
 
-    Texts with characters outside PLAIN go to the tokenizers library whole.
+    Texts with characters outside PLAIN or a special token go to the tokenizers library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in whole.get("added_tokens", [])) or r"(?!)", re.I)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level vocabularies
         others = [b for b in range(256) if b not in shown]
         letters = [chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)]
@@ -88,7 +88,7 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or self.special.search(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = WORD.findall(text.lower())
         try:
@@ -167,14 +167,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     """``parts`` with the sequence each piece is put in and its offset there."""
     parts = cut(parts)
     groups = max(1, -(-parts.count() // group))
-    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
-        seq, off = pack_group(frame["length"].to_numpy(np.int64), capacity)
-        frame["sequence_id"] = seq + (frame["grp"].to_numpy(np.int64) << 40)
-        frame["offset"] = off
-        return frame.drop(columns="grp")
+    def place(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")]))
+        seq, off = pack_group(table["length"].to_numpy(), capacity)
+        at = table["grp"].to_numpy().astype(np.int64) << 40
+        return table.drop_columns("grp").append_column("sequence_id", pa.array(seq + at)).append_column("offset", pa.array(off))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.repartition(groups, "grp").groupBy("grp").applyInPandas(place, schema)
+    return dealt.repartition(groups, "grp").groupBy("grp").applyInArrow(place, schema)
