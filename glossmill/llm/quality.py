@@ -1,8 +1,7 @@
 """Quality rules: counting rules, then a hashed n-gram log-likelihood ratio.
 
-The score of a text is the mean, over its n-grams, of log p_target - log p_raw. Its n-grams are its byte n-grams,
-each hashed to a bucket, and its pairs of equal neighbouring words, which share one more bucket, as their letters
-alone look like the language's. The target multinomial is counted over trusted texts (labelled good, not toxic), the raw one over every text. A text
+The score of a text is the mean, over its byte n-grams, each hashed to a bucket, of log p_target - log p_raw.
+The target multinomial is counted over trusted texts (labelled good, not toxic), the raw one over every text. A text
 is kept if it passes the counting rules and its score reaches ``threshold``; every text gets a verdict.
 
 Nulls: a null text is an empty one (no words, base_failed); a null id or label row is never trusted.
@@ -23,7 +22,6 @@ from . import textscan as ts
 
 NGRAM = 4
 BUCKETS = 1 << 16
-SIZE = BUCKETS + 1  # the last one counts words that repeat the word before
 SMOOTHING = 0.5
 THRESHOLD = -0.25
 MAX_TRUSTED = 50_000  # the bound of the labelled sample that the target multinomial is counted over
@@ -48,9 +46,8 @@ def ngram_buckets(w: ts.Words) -> tuple[np.ndarray, np.ndarray]:
     full = counts > 0
     np.add.at(take, w.doc_start[:-1][full], 1)
     np.add.at(take, w.doc_start[:-1][full] + counts[full], -1)
-    again = 1 + np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1]))
     buckets = (gram >> np.uint32(16))[np.cumsum(take[:m]).astype(bool)].astype(np.int64)
-    return np.concatenate([buckets, np.full(len(again), BUCKETS)]), np.concatenate([np.repeat(np.arange(len(counts)), counts), w.doc[again]])
+    return buckets, np.repeat(np.arange(len(counts)), counts)
 
 
 def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> np.ndarray:
@@ -61,30 +58,30 @@ def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRUSTED) -> np.ndarray:
-    """log p_target - log p_raw by bucket: a table of SIZE values, whatever the size of the input."""
+    """log p_target - log p_raw by bucket: a table of BUCKETS values, whatever the size of the input."""
     spark = docs.sparkSession
     trusted = spark.sparkContext.broadcast(trusted_ids(labels, limit))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, good = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64), trusted.value
+        raw, target, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), trusted.value
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             known = np.isin(ids, good) & ~np.asarray(batch.column(0).is_null())
             for i, part in ts.blocks(ts.texts_of(batch, "text")):
                 buckets, doc = ngram_buckets(ts.scan_words(part))
-                raw += np.bincount(buckets, minlength=SIZE)
-                target += np.bincount(buckets[known[i + doc]], minlength=SIZE)
+                raw += np.bincount(buckets, minlength=BUCKETS)
+                target += np.bincount(buckets[known[i + doc]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(target[at]), pa.array(raw[at])], ["bucket", "target", "raw"])
 
     counts = docs.select("doc_id", "text").mapInArrow(count, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
     tables = []
     for name in ("target", "raw"):
-        c = np.zeros(SIZE)
+        c = np.zeros(BUCKETS)
         c[counts["bucket"].to_numpy(np.int64)] = counts[name].to_numpy(float)
-        tables.append(np.log(c + SMOOTHING) - np.log(c.sum() + SMOOTHING * SIZE))
+        tables.append(np.log(c + SMOOTHING) - np.log(c.sum() + SMOOTHING * BUCKETS))
     if not counts["target"].sum():  # without trusted texts there is nothing to compare with
-        return np.zeros(SIZE)
+        return np.zeros(BUCKETS)
     return tables[0] - tables[1]
 
 
