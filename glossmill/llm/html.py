@@ -3,7 +3,8 @@
 A page is cut into leaf blocks (text between block-level tags). Each block is a vector: its hashed tag path
 with class and id words, its hashed words, and a few figures. A bidirectional LSTM in numpy reads the blocks
 of a page in order and labels each as main text or not, so every label depends on the whole page. The model
-is trained here, on the driver, on pages made from templates with a fixed seed; its size is fixed.
+is trained by this module on pages made from templates with a fixed seed, and its weights (some 50 KB) are kept
+beside it. The templates have pages with telling element and class names and pages without any.
 
 Nulls: a null html is an empty page with empty text. Repeated rows keep a row each; empty tables give empty
 results; broken markup never fails: unknown ends are passed over and open elements end with the page.
@@ -13,10 +14,12 @@ from __future__ import annotations
 
 import functools
 import html as entities
+import os
 import random
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,39 +27,92 @@ from pyspark.sql import DataFrame
 
 PATH, WORDS, FIGURES, HIDDEN = 64, 24, 6, 24
 WIDTH = PATH + WORDS + FIGURES
+UNSURE = 0.05
 
 # HTML's element kinds.
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object".split())
-ENDS_P = BLOCK - {"body", "html", "option"}
-CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr",), "th": ("tr",), "tr": ("table",), "option": ("select",), "p": ()}
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+DROPPED = frozenset("script style template textarea title iframe noembed noframes xmp".split())  # their content is no text of the page's
+TO_THE_END = frozenset("script style".split())  # without an end tag these hold the rest of the page; the others are passed over
+ENDS_P = BLOCK - {"body", "html", "option", "noscript"}
+CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?][^>]*(?:>|\Z)|/[^>]*(?:>|\Z))", re.S)
 NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PART = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each leaf block with text, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Block(NamedTuple):
+    """A leaf block: the sum of its path's hashed names, its element, depth, text and characters in links."""
+
+    path: np.ndarray
+    tag: str
+    depth: int
+    text: str
+    linked: int
+
+
+class _Path:
+    """The open elements. The vector of their distinct names is kept up to date, so a block costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.times: dict[str, int] = {}
+        self.vector = np.zeros(PATH, np.float32)
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, names))
+        for x in (tag, *names):
+            self.times[x] = self.times.get(x, 0) + 1
+            if self.times[x] == 1:
+                k, sign = _slot(x, PATH)
+                self.vector[k] += sign
+
+    def cut(self, size: int) -> None:
+        while len(self.open) > size:
+            tag, names = self.open.pop()
+            self.places[tag].pop()
+            for x in (tag, *names):
+                self.times[x] -= 1
+                if not self.times[x]:
+                    del self.times[x]
+                    k, sign = _slot(x, PATH)
+                    self.vector[k] -= sign
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+
+def blocks(page: str) -> list[Block]:
+    """The leaf blocks with text, in page order.
+
+    The head ends where its end tag, or anything that can't be in a head, comes. Foreign elements (svg, math)
+    and fallback content (object, canvas) are read like any inline element.
+    """
+    out: list[Block] = []
+    path = _Path()
     held: list[str] = []
-    linked, in_link = 0, False
-    at, head = 0, False
+    linked, in_link, head = 0, False, False
+    at = 0
 
     def flush() -> None:
         nonlocal held, linked
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
-            out.append((tuple(x for tag, names in stack for x in (tag, *names)), text, linked))
+            out.append(Block(path.vector.copy(), path.open[-1][0] if path.open else "", len(path.open), text, linked))
         held, linked = [], 0
 
     def add(s: str) -> None:
-        nonlocal linked
-        if not head:
-            held.append(s)
-            if in_link:
-                linked += len(s.strip())
+        nonlocal linked, head
+        if head:
+            if not s.strip():
+                return
+            head = False
+        held.append(s)
+        if in_link:
+            linked += len(s.strip())
 
     while m := TAG.search(page, at):
         add(page[at : m.start()])
@@ -64,62 +120,62 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if not m[2]:
             continue
         tag, end = m[2].lower(), bool(m[1])
-        if tag in RAW and not end:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-        elif tag == "head":
+        if tag == "head":
             head = not end
-        elif tag == "body":
+            continue
+        if head and not end and tag not in HEAD:
             head = False
+        if tag in DROPPED:
+            if not end and not (m[3] or "").endswith("/"):
+                close = _closing(tag).search(page, at)
+                at = close.end() if close else len(page) if tag in TO_THE_END else at
         elif tag == "br":
-            add(" ")
+            add(" " if not head else "")
         elif tag == "a":
             in_link = not end
         elif tag in BLOCK:
+            if head:
+                continue
             flush()
             in_link = False
-            open_tags = [t for t, _ in stack]
             if end:
-                if tag in open_tags:
-                    del stack[len(stack) - 1 - open_tags[::-1].index(tag) :]
+                if (k := path.last(tag)) >= 0:
+                    path.cut(k)
                 continue
-            if tag in ENDS_P and open_tags and open_tags[-1] == "p":
-                stack.pop()
-                open_tags.pop()
-            if tag in CLOSES:
-                for k in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[k] in CLOSES[tag]:
-                        break
-                    if open_tags[k] == tag:
-                        del stack[k:]
-                        break
+            if tag in ENDS_P and path.open and path.open[-1][0] == "p":
+                path.cut(len(path.open) - 1)
+            if tag in CLOSES and (k := path.last(tag)) > path.last(*CLOSES[tag]):
+                path.cut(k)
             if tag not in VOID:
                 names = [x for g in NAME.findall(m[3] or "") for x in PART.findall("".join(g).lower())]
-                stack.append((tag, tuple("." + x for x in names[:8])))
+                path.push(tag, tuple("." + x for x in names[:8]))
     add(page[at:])
     flush()
     return out
 
 
+@functools.lru_cache(None)  # as many entries as DROPPED
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}[\s/]*>", re.I)
+
+
 @functools.lru_cache(1 << 16)
 def _slot(word: str, size: int) -> tuple[int, float]:
     h = zlib.crc32(word.encode("utf-8", "replace"))
     return h % size, 1.0 if h >> 31 else -1.0
 
 
-def vectors(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), WIDTH), np.float32)
-    for i, (path, text, linked) in enumerate(found):
-        for x in dict.fromkeys(path):
-            k, sign = _slot(x, PATH)
-            out[i, k] += sign
-        words = text.lower().split()
-        for w in words:
-            k, sign = _slot(w, WORDS)
-            out[i, PATH + k] += sign
-        out[i, PATH : PATH + WORDS] = np.clip(out[i, PATH : PATH + WORDS] / max(1.0, float(np.sqrt(len(words)))), -2, 2)
-        marks = sum(text.count(c) for c in ".,;:!?")
-        out[i, PATH + WORDS :] = (np.log1p(len(words)) / 4, linked / max(1, len(text)), marks / max(1, len(words)), i / len(found), path[-1] == "p" if path else 0, len(path) / 10)
+    for i, b in enumerate(found):
+        out[i, :PATH] = b.path
+        words = b.text.lower().split()
+        slots = [_slot(w, WORDS) for w in words]
+        out[i, PATH : PATH + WORDS] = np.bincount([k for k, _ in slots], [s for _, s in slots], WORDS)
+        scale = max(1.0, float(np.sqrt(len(words))))
+        out[i, PATH : PATH + WORDS] = np.clip(out[i, PATH : PATH + WORDS] / scale, -2, 2)
+        marks = sum(b.text.count(c) for c in ".,;:!?")
+        out[i, PATH + WORDS :] = (np.log1p(len(words)) / 4, b.linked / max(1, len(b.text)), marks / max(1, len(words)), i / len(found), b.tag == "p", min(b.depth, 50) / 10)
     return out
 
 
@@ -195,6 +251,11 @@ class _Templates:
     NOTICE = "cookie cookies consent notice alert gdpr popup modal newsletter subscribe disclaimer".split()
     COMMENT = "comments comment discussion replies reply respond disqus thread".split()
     MAIN = "content main article post entry story text body".split()
+    SAY_COMMENT = "Comments;Leave a comment;Responses;Discussion;Reader comments;What do you think?;Join the conversation".split(";")
+    SAY_SIDE = "Related;Related articles;Popular posts;Most read;You may also like;Recommended for you;Archive;Tags".split(";")
+    SAY_AD = "Advertisement;Sponsored;Promoted content;Buy now;Special offer".split(";")
+    SAY_NOTICE = "This site uses cookies;We use cookies to improve;Accept all cookies;Subscribe to our newsletter;Please enable JavaScript;Sign up for updates".split(";")
+    SAY_FOOTER = "All rights reserved;Privacy policy;Terms of use;Contact us;Powered by".split(";")
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -202,6 +263,8 @@ class _Templates:
     def words(self, a: int, b: int) -> str:
         r = self.r
         ws = ["".join(r.choices(self.SYLLABLES, k=r.randint(1, 3))) for _ in range(r.randint(a, b))]
+        if r.random() < 0.03:
+            ws = ws[:1] * r.randint(1, 90)  # junk is text too
         out = " ".join(w + (r.choice(".,;?") if r.random() < 0.15 else "") for w in ws)
         return out[:1].upper() + out[1:] + ("." if r.random() < 0.7 else "")
 
@@ -226,7 +289,7 @@ class _Templates:
         name = self.name(names) if own else f' class="{r.choice(names)}"'
         parts = self.lines(1, 4, 1, 45)
         if hint and r.random() < 0.5:
-            parts[0] = f"{hint} {parts[0]}"
+            parts[0] = f"{r.choice(hint.split(';'))} {parts[0]}"
         inner = "".join(r.choice((f"<p>{x}</p>", f"<div>{x}</div>", f'<p><a href="#">{x}</a></p>', f"<h3>{x}</h3>")) for x in parts) if r.random() < 0.6 else parts[0]
         return f"<{tag if own else 'div'}{name}>{inner}</{tag if own else 'div'}>"
 
@@ -237,7 +300,9 @@ class _Templates:
         r = self.r
         name = r.choice(self.COMMENT)
         each = "".join(f'<{t} class="{r.choice(("comment", "reply", name))}"><p>{self.words(1, 40)}</p></{t}>' for t in r.choices(("div", "li", "article"), k=r.randint(1, 4)))
-        return f'<{r.choice(("div", "section"))} id="{name}"><h3>{self.words(1, 3)}</h3>{each}</div>'
+        tag = r.choice(("div", "section"))
+        said = r.choice(self.SAY_COMMENT) if r.random() < 0.7 else self.words(1, 3)
+        return f'<{tag} id="{name}"><h3>{said}</h3>{each}</{tag}>'
 
     def article(self) -> tuple[str, list[str]]:
         r, gold, out = self.r, [], []
@@ -246,12 +311,14 @@ class _Templates:
             out.append(markup.format(text))
             gold.append(text)
 
-        if r.random() < 0.85:
+        if r.random() < 0.7:
             keep(r.choice(("<h1>{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>")) if r.random() < 0.9 else "<div>{}</div>", self.words(2, 14))
-        for _ in range(r.randint(1, 18)):
+        usual = r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<dd>{}</dd>", "{}<hr>", "<tr><td>{}</td></tr>"))
+        low = r.choice((1, 1, 12))
+        for _ in range(r.choice((r.randint(1, 3), r.randint(1, 18)))):
             kind = r.random()
             if kind < 0.55:
-                keep("<p>{}</p>", self.words(1, 90))
+                keep(usual, self.words(low, 90))
             elif kind < 0.7:
                 keep("<p><b>{}<br>", self.words(1, 120))
             elif kind < 0.78:
@@ -265,23 +332,46 @@ class _Templates:
             elif kind < 0.93:
                 keep('<p><a href="/y">{}</a></p>', self.words(1, 25))
             else:
-                out.append(r.choice((lambda: self.aside("aside", self.AD, "Advertisement"), lambda: self.aside("aside", self.SIDE, ""), self.form, lambda: self.aside("div", self.NOTICE, "cookies")))())
-        wrap = r.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", f'<div class="{r.choice(self.MAIN)}">{{}}</div>', f'<div id="{r.choice(self.MAIN)}">{{}}</div>', '<article class="post"><div class="entry">{}</div></article>'))
+                out.append(r.choice((lambda: self.aside("aside", self.AD, ";".join(self.SAY_AD)), lambda: self.aside("aside", self.SIDE, ";".join(self.SAY_SIDE)), self.form, lambda: self.aside("div", self.NOTICE, ";".join(self.SAY_NOTICE))))())
+        wrap = r.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", f'<div class="{r.choice(self.MAIN)}">{{}}</div>', f'<div id="{r.choice(self.MAIN)}">{{}}</div>', '<article class="post"><div class="entry">{}</div></article>', '{}' if r.random() < 0.3 else '<div>{}</div>'))
         return wrap.replace("{}", "".join(out)), gold
 
+    def plain(self, page: str) -> str:
+        """The page without elements that say what they are for; its names go, or become any words."""
+        r = self.r
+        box = r.choice(("div", "div", "section", "td", "dl", "center", "fieldset"))
+        page = re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", lambda m: f"<{m[1]}{box}", page)
+        if r.random() < 0.6:
+            return re.sub(r' (class|id)="[^"]*"', "", page)
+        named: dict[str, str] = {}
+        return re.sub(r' (class|id)="([^"]*)"', lambda m: f' {m[1]}="{named.setdefault(m[2], "".join(r.choices(self.SYLLABLES, k=2)))}"', page)
+
     def page(self) -> tuple[str, list[str]]:
+        page, gold = self._page()
+        r = self.r
+        if r.random() < 0.4:
+            page = self.plain(page)
+        if r.random() < 0.15:
+            page = page.replace("</head>", "")
+        if r.random() < 0.15:
+            page = page.replace("<body>", "").replace("</body></html>", "")
+        return page, gold
+
+    def _page(self) -> tuple[str, list[str]]:
         r = self.r
         body, gold = self.article()
         before, after = [], []
-        for chance, make in ((0.5, lambda: self.aside("header", self.HEADER, "")), (0.9, self.menu), (0.5, lambda: self.aside("div", self.AD, "")), (0.3, lambda: self.aside("div", self.NOTICE, "This site uses cookies.")), (0.2, lambda: self.aside("aside", self.SIDE, ""))):
+        for chance, make in ((0.5, lambda: self.aside("header", self.HEADER, "")), (0.9, self.menu), (0.5, lambda: self.aside("div", self.AD, ";".join(self.SAY_AD))), (0.3, lambda: self.aside("div", self.NOTICE, ";".join(self.SAY_NOTICE))), (0.2, lambda: self.aside("aside", self.SIDE, ";".join(self.SAY_SIDE)))):
             if r.random() < chance:
                 before.append(make())
-        for chance, make in ((0.3, self.comments), (0.3, lambda: self.aside("aside", self.SIDE, "Related")), (0.2, self.form), (0.25, lambda: self.aside("div", self.AD, "")), (0.2, self.menu)):
+        for chance, make in ((0.3, self.comments), (0.3, lambda: self.aside("aside", self.SIDE, ";".join(self.SAY_SIDE))), (0.2, self.form), (0.25, lambda: self.aside("div", self.AD, ";".join(self.SAY_AD))), (0.2, self.menu)):
             if r.random() < chance:
                 after.append(make())
         r.shuffle(before)
+        if r.random() < 0.15:
+            return f"<html><head><title>x</title></head><body>{body}</body></html>", gold
         if r.random() < 0.95:
-            after.append(f"<footer>{r.choice(('&copy; ', ''))}{self.words(1, 40)}</footer>" if r.random() < 0.6 else self.aside("footer", self.FOOTER, "©"))
+            after.append(f"<footer>{r.choice(('&copy; ', '&copy; ', r.choice(self.SAY_FOOTER) + ' ', ''))}{self.words(1, 40)}</footer>" if r.random() < 0.6 else self.aside("footer", self.FOOTER, "©;" + ";".join(self.SAY_FOOTER)))
         return f"<html><head><title>x</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>", gold
 
 
@@ -293,8 +383,8 @@ def examples(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
         found = blocks(page)
         left = [" ".join(g.split()) for g in gold]
         label = []
-        for _, text, _ in found:
-            hit = bool(left) and text == left[0]
+        for b in found:
+            hit = bool(left) and b.text == left[0]
             if hit:
                 left.pop(0)
             label.append(hit)
@@ -303,9 +393,18 @@ def examples(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_weights.npz")
+
+
 @functools.lru_cache(1)
-def model(pages: int = 2400, epochs: int = 8, seed: int = 7) -> tuple:
-    """The trained weights (name, array), by Adam over batches of pages of like length."""
+def model() -> tuple:
+    """The weights (name, array) as ``train`` made them; ``python -m glossmill.llm.html`` makes the file anew."""
+    with np.load(WEIGHTS) as f:
+        return tuple((k, f[k].astype(np.float32)) for k in f.files)
+
+
+def train(pages: int = 9000, epochs: int = 12, seed: int = 7) -> tuple:
+    """Weights (name, array), by Adam over batches of pages of like length."""
     rng = np.random.default_rng(seed)
     data = sorted(examples(pages, seed), key=lambda e: len(e[1]))
     weights = {k: (rng.standard_normal((WIDTH + HIDDEN + 1, 4 * HIDDEN)) * 0.15).astype(np.float32) for k in ("ahead", "back")}
@@ -339,7 +438,10 @@ def model(pages: int = 2400, epochs: int = 8, seed: int = 7) -> tuple:
 
 
 def extract(pages: list[str | None], weights: dict[str, np.ndarray], cells: int = 40_000) -> list[str]:
-    """Main text of each page; pages of like length are read side by side."""
+    """Main text of each page; pages of like length are read side by side.
+
+    A block is main text above 0.5; where none is, above half of the page's best, if that isn't below UNSURE.
+    """
     found = [blocks(p or "") for p in pages]
     out = [""] * len(pages)
     order = [i for i in sorted(range(len(pages)), key=lambda i: len(found[i])) if found[i]]
@@ -350,7 +452,9 @@ def extract(pages: list[str | None], weights: dict[str, np.ndarray], cells: int
         part, order = order[:n], order[n:]
         p = scores(weights, *pad([vectors(found[i]) for i in part]))
         for k, i in enumerate(part):
-            out[i] = "\n\n".join(text for j, (_, text, _) in enumerate(found[i]) if p[j, k] > 0.5)
+            most = float(p[: len(found[i]), k].max())
+            bar = 0.5 if most > 0.5 else max(most / 2, UNSURE)
+            out[i] = "\n\n".join(b.text for j, b in enumerate(found[i]) if p[j, k] > bar)
     return out
 
 
@@ -366,3 +470,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in train()})
