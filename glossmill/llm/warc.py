@@ -8,11 +8,17 @@ response and the others are revisits without payload that refer to it.
 Reading: ``spark.read.format("warc")``. Files are planned into partitions of about ``partition_bytes``; a
 file, plain or gzip, is read as a stream. Predicates on record_type and other header columns are pushed down: each
 record's header is parsed first, and the payload of a record that fails them is skipped unread; with option
-``payload`` false no payload is decoded. Set spark.sql.python.filterPushdown.enabled for the push-down;
-without it Spark filters afterwards.
+``payload`` false no payload is decoded. ``read`` turns the session's push-down of filters to Python sources on;
+without it Spark filters afterwards. In a file of one gzip stream what is skipped is still inflated, but in
+pieces that are thrown away at once.
+
+Bad records: folded header lines continue the one before. A record that doesn't begin with WARC/, has no whole
+number as its Content-Length or ends early raises ValueError with its file: what follows can't be found then.
+With option ``bad`` set to skip, the rest of such a file is passed over instead.
 
 Nulls: a null html is an empty payload, a null url an empty target; rows with a null id are responses of their
-own. Rows of one id and payload are all responses. Empty tables give one archive without records.
+own. Rows of one id and payload are all responses. Empty tables give one archive without records. Other columns
+than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 import gzip
 import io
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from glossmill.plans.lineage import cut, ensure_checkpoint_dir
+from glossmill.plans.lineage import cut, ensure_checkpoint_dir, remove
 
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 20_000
@@ -91,6 +98,7 @@ class WarcReader(DataSourceReader):
         self.path = _uri(options["path"])
         self.target = int(options.get("partition_bytes", 64 << 20))
         self.payload = options.get("payload", "true").lower() == "true"
+        self.skip_bad = options.get("bad", "raise").lower() == "skip"
         self.wanted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -127,7 +135,7 @@ class WarcReader(DataSourceReader):
             with fs.open_input_stream(name, compression=None) as raw:
                 stream = io.BufferedReader(_Raw(raw), 1 << 20)
                 plain = gzip.open(stream) if stream.peek(2)[:2] == b"\x1f\x8b" else stream
-                for row in parse(plain, self.wanted, self.payload):
+                for row in self._rows(plain, path):
                     rows.append(row)
                     held += len(row[-1] or b"")
                     if held > 8 << 20 or len(rows) >= 4096:
@@ -136,6 +144,13 @@ class WarcReader(DataSourceReader):
         if rows:
             yield self._batch(rows, names)
 
+    def _rows(self, stream, path: str) -> Iterator[tuple]:
+        try:
+            yield from parse(stream, self.wanted, self.payload)
+        except (ValueError, EOFError, OSError, zlib.error) as e:
+            if not self.skip_bad:
+                raise ValueError(f"{path}: {e}") from e
+
     @staticmethod
     def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
         kinds = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.binary()]
@@ -168,10 +183,17 @@ def parse(stream, wanted: list[tuple[str, frozenset]], payload: bool = True) ->
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {line[:40]!r}")
         head: dict[str, str] = {}
+        key = ""
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            key, _, value = line.decode("utf-8", "replace").partition(":")
-            head[key.strip().lower()] = value.strip()
-        size = int(head.get("content-length", 0))
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            if line[:1] in b" \t" and key:
+                head[key] = f"{head[key]} {line.decode('utf-8', 'replace').strip()}".strip()
+                continue
+            key = name.strip().lower()
+            head[key] = value.strip()
+        if not head.get("content-length", "").isdecimal():
+            raise ValueError(f"a record with Content-Length {head.get('content-length')!r}")
+        size = int(head["content-length"])
         row = {column: head.get(key) for key, column in _HEADERS.items()}
         if not all(row[c] in values for c, values in wanted):
             _skip(stream, size)
@@ -183,14 +205,15 @@ def parse(stream, wanted: list[tuple[str, frozenset]], payload: bool = True) ->
         else:
             body = None
             _skip(stream, size)
-        yield (*row.values(), int(head.get("x-payload-length", size)), size, body)
+        length = head.get("x-payload-length", "")
+        yield (*row.values(), int(length) if length.isdecimal() else size, size, body)
 
 
 def _skip(stream, size: int) -> None:
     while size > 0:
         got = len(stream.read(min(size, 1 << 20)))
         if not got:
-            return
+            raise ValueError(f"a record ends {size} bytes early")
         size -= got
 
 
@@ -213,7 +236,7 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write all pages as archives in the shared folder, read them back, and report each record.
+    """Write all pages as archives in the shared folder, read them back, report each record, and remove the archives.
 
     A response's digest and length are taken from the payload that was read, a revisit's from its header.
     """
@@ -223,10 +246,13 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     found = read(spark, path).where(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.regexp_extract(c, f"{PREFIX}(-?[0-9]+)", 1).try_cast("long")
     whole = F.col("record_type") == "response"
-    return found.select(
+    told = found.select(
         number("record_id").alias("page_id"),
         F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(whole, base32_sha1(F.col("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
     )
+    told = cut(told)
+    remove(spark, path)
+    return told
