@@ -12,10 +12,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point every neighbour of a node (large: those above it; small: those below and itself) to the least of them."""
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # cut: the join may then split a hot node
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), True)  # cut: the join may then split a hot node
         return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")), True)
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -25,13 +25,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Joins are on a node whose one side holds it once, so a node with a third of all links is split by
     adaptive execution; every round is cut into the checkpoint folder.
     """
-    now = cut(edges.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = cut(edges.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), True)
     state = None
     while True:
         roots = now.select(F.col("v").alias("u")).join(now.select("u"), "u", "left_semi").limit(1).count()
         if not roots and not now.groupBy("u").count().where("count > 1").limit(1).count():
             break  # every node points to one root, and no root points on
-        now = cut(_star(_star(now, True), False))
+        now = cut(_star(_star(now, True), False), True)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == state:
             break

@@ -4,6 +4,9 @@ The texts are kept in compressed chunks. Each chunk sends its sorted distinct 64
 bits into buckets and delta-coded; a bucket merges what the chunks sent and answers each chunk with one bit
 a key: does it occur more than once in all? A chunk names a key once however often it holds it, so a key that
 a third of all rows share costs a bucket one entry a chunk.
+
+Chunks times buckets is the number of messages, so both grow with the square root of the corpus, from CHUNK_BYTES
+and BUCKET_KEYS up to GROWTH times as much (about 100 TB): the messages then grow in proportion to the corpus.
 """
 
 from __future__ import annotations
@@ -23,13 +26,24 @@ from glossmill.plans.lineage import cut
 CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 1 << 21
 LEAST_BUCKETS = 64
+GROWTH = 8
+GROWS_FROM = 1 << 40  # bytes of corpus
+
+
+def growth(corpus: int) -> float:
+    """How much larger chunks and buckets are than their least sizes."""
+    return min(GROWTH, max(1.0, (corpus / GROWS_FROM) ** 0.5))
 
 
-def chunk_table(docs: DataFrame, columns: list[str] | None = None, target: int = CHUNK_BYTES) -> DataFrame:
+def chunk_table(docs: DataFrame, columns: list[str] | None = None, target: int | None = None) -> DataFrame:
     """``chunk, n_bytes, payload``: rows packed in chunks of about ``target`` bytes of text, cut from lineage.
 
-    A chunk is named by the task that packed it; as the table is kept, the names stay as they are.
+    A chunk is named by the task that packed it; as the table is kept, the names stay as they are. Without a
+    target the planner's estimate of the input's bytes sets it; one that can't be right counts as small.
     """
+    if target is None:
+        guess = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        target = int(CHUNK_BYTES * growth(guess if guess < 1 << 60 else 0))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -65,17 +79,21 @@ def unpack(payload: bytes) -> pa.RecordBatch:
 def encode(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte planes apart."""
     steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    if len(keys) < 16:
+        return steps.tobytes()
     return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(steps.T).tobytes())
 
 
 def decode(blob: bytes, n: int) -> np.ndarray:
+    if n < 16:
+        return np.cumsum(np.frombuffer(blob, np.uint64), dtype=np.uint64)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, n)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def bucket_count(keys: int) -> int:
-    """A power of two, so that a bucket holds some BUCKET_KEYS keys at any size of the corpus."""
-    return max(LEAST_BUCKETS, 1 << max(0, int(keys) // BUCKET_KEYS).bit_length())
+def bucket_count(keys: int, corpus: int = 0) -> int:
+    """A power of two, so that a bucket holds some BUCKET_KEYS keys, times the corpus's growth."""
+    return max(LEAST_BUCKETS, 1 << max(0, int(keys / (BUCKET_KEYS * growth(corpus)))).bit_length())
 
 
 def occurs_again(chunks: DataFrame, keys_of: Callable[..., np.ndarray], buckets: int, given: DataFrame | None = None) -> DataFrame:
@@ -127,12 +145,13 @@ def flags_of(answers: pa.Table) -> np.ndarray:
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, work: Callable[[pa.RecordBatch, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """``work(rows, flags)`` over every chunk and the answers it got."""
+    """``work(rows, flags)`` over every chunk and the answers it got, and the chunk beside."""
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(unpack(left["payload"][0].as_py()), flags_of(right))
+        out = work(unpack(left["payload"][0].as_py()), flags_of(right))
+        return out.append_column("chunk", pa.array([left["chunk"][0].as_py()] * out.num_rows, pa.int64()))
 
-    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
+    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"{schema}, chunk long")
 
 
 def corpus_bytes(chunks: DataFrame) -> int:

@@ -1,28 +1,33 @@
 """N-gram Jaccard join over prefix trees.
 
-1. Texts with equal shingle sets form one class, represented by its least id.
+1. Texts with equal shingle sets form one class, named by 128 bits of hash over the set.
 2. A shingle that only one class of the corpus holds can't be shared. A set of n shingles with fewer than
    threshold * n shared ones has no partner and is done (exchange.py tells which are shared).
 3. The other sets' shingles are put in global order, the rarest first, so that passages which many documents
-   share come last. Each prefix shingle points to the least class holding it in its prefix; the components of
-   these pointers are families. Two sets that link share a prefix shingle, so they are in one family.
-4. A family's sets, in one order, are walked as a prefix tree: one overlap counter for each set of the
-   family is kept along the path, so sets with a common prefix share that work; a subtree is left as soon as
-   its remaining length can't lift any counter of another component to the bound.
-5. A family above ``FAMILY`` sets is first tested against its hub, set by set, which settles what links to
-   it. What the hub doesn't settle meets the whole family, block against block. No link is lost.
+   share come last. Two sets that link share a shingle of their prefixes. The sets that hold one shingle in
+   their prefix are a group; of groups with equal members one is kept.
+4. Each group has a hub, the set with the largest share of shared shingles. A hub meets its members of fitting
+   size in a prefix tree, in parts of BLOCK members. This joins copies of one text around their hub.
+5. Groups whose members are not all joined by then are walked whole: their sets, in one order, as a prefix
+   tree; one overlap counter for each set of the group is kept along the path, so sets with a common prefix
+   share that work; a subtree is left as soon as its remaining length can't lift any counter of a set that
+   isn't joined yet to the bound. A group above BLOCK sets is dealt into parts, and each part meets each.
+
+No link is lost: every pair that links is in a group, and a group is only left once its members are joined.
+Groups hold ids until they are walked, and no group is joined to another, so they don't merge as a corpus grows.
+Shingles are compared by 64 bits of hash: a pair of sets that meets is misjudged with a chance of about 2**-50.
 
 Nulls: null or wordless texts have an empty set and are linked with nothing; a row with a null id never names
-a component, and its own is null unless it joins another's. Repeated rows keep a row each. Empty tables give
-empty results; other columns are not read.
+a component, and its own is null unless its component has another row. Repeated rows keep a row each. Empty
+tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,34 +40,30 @@ from .components import components
 
 N = 5
 PERCENT = 80
-FAMILY = 128
-BLOCK = 512
-HUBS = 1
-BROADCAST_FAMILIES = 10_000
+BLOCK = 256
+SMALL_TABLE = 100_000  # rows of a table of counts that may be broadcast; a larger one is left to a shuffle
 _COARSE = np.uint64(16)  # low bits left out when asking which shingles are shared: a filter may pass too much
 
 
 def sets_of(texts: list[bytes], n: int = N) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text; a text of fewer than n words has its whole sequence as one."""
     out = []
     for _, part in ts.blocks(texts):
         w = ts.scan_words(part, lower=True)
         h, at = ts.shingles(w, n)
         cut_at = np.searchsorted(w.doc[at], np.arange(len(part) + 1))
+        short = np.zeros(len(part), np.uint64)
+        for k in range(1, n):
+            few = np.flatnonzero(w.counts == k)
+            short[few] = ts.chained(w.hash, w.first[few], k, seed=k)
         for i, count in enumerate(w.counts.tolist()):
-            if count >= n:
-                out.append(np.unique(h[cut_at[i] : cut_at[i + 1]]))
-            elif count:
-                short = w.hash[w.first[i] : w.first[i + 1]] * ts.powers(n + 2)[2 : count + 2]
-                out.append(ts.mix(short.sum(dtype=np.uint64, keepdims=True) ^ (np.array([count], np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
-            else:
-                out.append(np.zeros(0, np.uint64))
+            out.append(np.unique(h[cut_at[i] : cut_at[i + 1]]) if count >= n else short[i : i + (count > 0)])
     return out
 
 
-def signature(s: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        return int(ts.mix(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(ts.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), initial=np.uint64(0)).view(np.int64))
+def class_name(s: np.ndarray) -> bytes:
+    """128 bits that name a set of shingles."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def need(n: int, percent: int) -> int:
@@ -127,53 +128,105 @@ def tree_join(sets: list[np.ndarray], sizes: np.ndarray, percent: int, label: np
     return forest.label
 
 
-def _family_edges(rep: np.ndarray, label: np.ndarray) -> pa.Table:
-    """Each set linked to the least id of its label."""
-    frame = pd.DataFrame({"a": rep, "l": label})
-    frame["b"] = frame.groupby("l")["a"].transform("min")
-    frame = frame[frame["a"] != frame["b"]]
-    return pa.table({"a": pa.array(frame["a"].to_numpy(np.int64)), "b": pa.array(frame["b"].to_numpy(np.int64))})
-
 
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def _hub_links(members: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Links of large families' sets to a few hubs, and the sets (rep) that none of them settled."""
+def _links(names: list[bytes], was: np.ndarray, label: np.ndarray) -> pa.Table:
+    """A chain of links through the sets of each label that joins sets which weren't joined before."""
+    a, b = [], []
+    order = np.lexsort((was, label))
+    for x, y in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+        if label[x] == label[y] and was[x] != was[y]:
+            a.append(names[x])
+            b.append(names[y])
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, n: pd.Series, b: pd.Series, k: pd.Series) -> pd.Series:
-        out, held = [], None
-        for x, nx, y, ny in zip(a, n, b, k, strict=True):
-            if held is None or held[0] is not y and held[0] != y:
-                held = (y, np.frombuffer(y, np.uint64))
-            o = len(np.intersect1d(np.frombuffer(x, np.uint64), held[1], assume_unique=True))
-            out.append(100 * o >= percent * (nx + ny - o))
-        return pd.Series(out, dtype=bool)
 
-    links, left = None, members
-    for _ in range(rounds):
-        # the set with the smallest share of shingles of its own is likeliest to be near the others
-        hubs = left.groupBy("fam").agg(F.max_by(F.struct("rep", "n", "arr"), F.struct(F.length("arr") / F.col("n"), -F.col("rep"))).alias("hub"))
-        hubs = cut(hubs.select("fam", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hn"), F.col("hub.arr").alias("harr")))
-        tested = cut(members.join(hubs, "fam").where(near("arr", "n", "harr", "hn")).select("rep", "hub"))
-        links = tested if links is None else links.union(tested)
-        left = cut(left.join(tested.select("rep"), "rep", "left_anti"))
-    return links, left
+def _small(df: DataFrame) -> DataFrame:
+    """A table computed once, and broadcast only if it is counted to be small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= SMALL_TABLE else df
 
 
-def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = N, family: int = FAMILY) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
+def _part(name: str, size: str, block: int):
+    """The part, of as many as ``size`` rows need, that a set belongs to."""
+    return F.pmod(F.xxhash64(name), F.coalesce(F.ceil(F.col(size) / block), F.lit(1))).cast("int")
+
+
+def _parts(size: str, block: int):
+    return F.sequence(F.lit(0), (F.coalesce(F.ceil(F.col(size) / block), F.lit(1)) - 1).cast("int"))
+
+
+def _hub_links(tokens: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between the hub of each group and its members."""
+    rank = F.struct("own", "c")  # least share of shingles of its own, then by name
+    hubs = tokens.groupBy("token").agg(F.min(rank)["c"].alias("hub"))
+    pairs = tokens.join(cut(hubs), "token").where("c <> hub").select("hub", "c").distinct()
+    pairs = cut(pairs)
+    sizes = sets.select("c", "n")
+    pairs = pairs.join(sizes, "c").join(sizes.select(F.col("c").alias("hub"), F.col("n").alias("hn")), "hub")
+    pairs = cut(pairs.where(F.lit(100) * F.least("n", "hn") >= percent * F.greatest("n", "hn")).select("hub", "c"))
+    crowded = _small(pairs.groupBy("hub").agg(F.count("*").alias("size")).where(F.col("size") > block))
+    members = pairs.join(crowded, "hub", "left").withColumn("part", _part("c", "size", block)).join(sets, "c")
+    here = pairs.select("hub").distinct().join(crowded, "hub", "left").select("hub", F.explode(_parts("size", block)).alias("part")).join(sets.withColumnRenamed("c", "hub"), "hub")
+    columns = ["hub", "part", "c", "n", "arr"]
+    both = members.select(*columns, F.lit(False).alias("probe")).union(here.withColumn("c", F.col("hub")).select(*columns, F.lit(True)))
+
+    def meet(table: pa.Table) -> pa.Table:
+        names, apart = table["c"].to_pylist(), np.arange(table.num_rows)
+        found = tree_join(_arrays(table["arr"]), table["n"].to_numpy(), percent, None, np.flatnonzero(np.asarray(table["probe"]).astype(bool)))
+        return _links(names, apart, found)
+
+    return both.groupBy("hub", "part").applyInArrow(meet, "a binary, b binary")
+
+
+def _group_links(tokens: DataFrame, sets: DataFrame, joined: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links within the groups that ``joined`` (node, component) has left in several components.
+
+    Groups that share sets form a family. A family whose sets are in more groups each than it has parts is
+    walked as one group, which brings each set to fewer trees; the groups of any other are walked one by one.
+    """
+    known = tokens.join(joined.withColumnRenamed("node", "c"), "c", "left").select("token", "c", F.coalesce("component", "c").alias("label"))
+    open_ = cut(known.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("c").alias("least")).where("low < high").select("token", "size", "least"))
+    members = cut(known.join(open_, "token").select("token", "size", "least", "c", "label"))
+    family = cut(components(members.select("least", "c"), "least", "c").select(F.col("node").alias("c"), F.col("component").alias("family")))
+    placed = cut(members.join(family, "c"))
+    sums = placed.groupBy("family").agg(F.count("*").alias("places"))
+    sums = _small(sums.join(family.groupBy("family").agg(F.count("*").alias("f_size")), "family").where(F.ceil(F.col("f_size") / block) <= F.col("places") / F.col("f_size")).select("family", "f_size"))
+    whole = placed.select("family", "c", "label").distinct().join(sums, "family").select(F.col("family").alias("grp"), F.col("f_size").alias("size"), "c", "label")
+    single = placed.join(sums, "family", "left_anti").select(F.col("token").cast("string").cast("binary").alias("grp"), "size", "c", "label")
+    rows = whole.union(single).withColumn("mine", _part("c", "size", block)).withColumn("other", F.explode(_parts("size", block)))
+    rows = rows.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "c", "label")
+    rows = rows.join(sets, "c")
+
+    def meet(table: pa.Table) -> pa.Table:
+        across = table["i"][0].as_py() != table["j"][0].as_py()  # two parts: only pairs between them, each looked for from the second
+        names = table["c"].to_pylist()
+        of: dict[bytes, int] = {}
+        was = np.array([of.setdefault(x, len(of)) for x in table["label"].to_pylist()], np.int64)
+        if len(of) < 2:
+            return _links([], was[:0], was[:0])
+        probes = np.flatnonzero(np.asarray(table["second"]).astype(bool)) if across else None
+        found = tree_join(_arrays(table["arr"]), table["n"].to_numpy(), percent, was, probes)
+        return _links(names, was, found)
+
+    return rows.groupBy("grp", "i", "j").applyInArrow(meet, "a binary, b binary")
+
+
+def _classes(docs: DataFrame, columns: list[str], percent: int, n: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The chunks of ``docs``; and ``chunk, row, doc_id, n, label, tie`` of every row, label null without words."""
     spark = docs.sparkSession
-    chunks = ex.chunk_table(docs)
+    chunks = ex.chunk_table(docs, columns)
+    total = ex.corpus_bytes(chunks)
 
-    def distinct(batch: pa.RecordBatch) -> tuple[list[np.ndarray], dict[tuple, int], list[tuple]]:
+    def distinct(batch: pa.RecordBatch) -> tuple[list[np.ndarray], dict[bytes, int], list[bytes | None]]:
         sets = sets_of(ts.texts_of(batch, "text"), n)
-        names = [(len(s), *signature(s)) for s in sets]
-        one: dict[tuple, int] = {}
+        names = [class_name(s) if len(s) else None for s in sets]
+        one: dict[bytes, int] = {}
         for i, k in enumerate(names):
-            if k[0]:
+            if k is not None:
                 one.setdefault(k, i)
         return sets, one, names
 
@@ -193,86 +246,63 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = N, fami
             part = s[shared[e - len(s) : e]]
             if len(part) >= need(len(s), percent):
                 arrays[i] = part.tobytes()
-        ids = batch.column(0)
-        return pa.table({"doc_id": ids, "n": pa.array([k[0] for k in names], pa.int64()), "s1": pa.array([k[1] for k in names], pa.int64()), "s2": pa.array([k[2] for k in names], pa.int64()), "arr": pa.array(arrays, pa.binary())})
+        ties = [hashlib.blake2b(repr(sorted(x.items())).encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in batch.to_pylist()] if len(columns) > 2 else [None] * len(sets)
+        return pa.table({"row": pa.array(range(len(sets)), pa.int64()), "doc_id": batch.column(batch.schema.get_field_index("doc_id")), "n": pa.array([len(s) for s in sets], pa.int64()), "c": pa.array(names, pa.binary()), "tie": pa.array(ties, pa.binary()), "arr": pa.array(arrays, pa.binary())})
 
-    answers = ex.occurs_again(chunks, keys, ex.bucket_count(ex.corpus_bytes(chunks) // 5))
-    rows = cut(ex.with_answers(chunks, answers, describe, "doc_id long, n long, s1 long, s2 long, arr binary"))
+    answers = ex.occurs_again(chunks, keys, ex.bucket_count(total // 5, total))
+    rows = cut(ex.with_answers(chunks, answers, describe, "row long, doc_id long, n long, c binary, tie binary, arr binary"))
     release(spark)
-    class_of = ["n", "s1", "s2"]
-    named = rows.where("n > 0").groupBy(*class_of).agg(F.min("doc_id").alias("rep"))
-    held = rows.where("arr is not null").groupBy(*class_of).agg(F.first("arr").alias("arr"))
-    sets = cut(held.join(named, class_of).where("rep is not null").select("rep", "n", "arr"))
+    sets = cut(rows.where("arr is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("arr").alias("arr")))
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rep, size, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for name, size, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 s = np.frombuffer(blob, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), rep, np.int64)), pa.array(np.full(len(s), need(size, percent), np.int32))], ["token", "rep", "need"])
+                at = pa.array(np.zeros(len(s), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.DictionaryArray.from_arrays(at, pa.array([name], pa.binary())).cast(pa.binary()), pa.array(np.full(len(s), size, np.int32))], ["token", "c", "n"])
 
-    every = sets.select("rep", "n", "arr").mapInArrow(unfold, "token long, rep long, need int")
+    every = sets.select("c", "n", "arr").mapInArrow(unfold, "token long, c binary, n int")
     held_by = cut(every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
-    whole = Window.partitionBy("rep")
+    whole = Window.partitionBy("c")
     ranked = every.join(held_by, "token").withColumn("place", F.row_number().over(whole.orderBy("df", "token"))).withColumn("shared", F.count("*").over(whole))
-    tokens = cut(ranked.where("place <= shared - need + 1").select("token", "rep"))
-    # a small unique side that is cut off leaves the join free to split a hot token, family or class
-    least = cut(tokens.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("token", "low"))
-    pointers = tokens.join(least, "token").where("rep <> low").select("rep", "low").distinct()
-    families = components(pointers, "rep", "low")
-    families = families.select(F.col("node").alias("rep"), F.col("component").alias("fam"))
-    members = sets.join(families, "rep")
-    counts = cut(families.groupBy("fam").agg(F.count("*").alias("size")))
-    members = cut(members.join(counts, "fam"))
+    least = F.ceil(F.col("n") * percent / 100)
+    prefix = cut(ranked.where(F.col("place") <= F.col("shared") - least + 1).select("token", "c", (1 - F.col("shared") / F.col("n")).alias("own")))
+    held = prefix.groupBy("token").agg(F.count("*").alias("k"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).where("k > 1")
+    chosen = cut(held.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token"))
+    tokens = cut(prefix.join(chosen, "token", "left_semi"))
+    release(spark)
+    links = cut(_hub_links(tokens, sets, percent, block))
+    more = cut(_group_links(tokens, sets, components(links, "a", "b"), percent, block))
     release(spark)
+    joined = cut(components(links.union(more), "a", "b").select(F.col("node").alias("c"), "component"))
+    return chunks, rows.drop("arr").join(joined, "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component", "c")
 
-    def small(table: pa.Table) -> pa.Table:
-        return _family_edges(table["rep"].to_numpy(), tree_join(_arrays(table["arr"]), table["n"].to_numpy(), percent))
-
-    links = members.where(F.col("size") <= family).groupBy("fam").applyInArrow(small, "a long, b long")
-    large = members.where(F.col("size") > family)
-    if large.limit(1).count():
-        to_hubs, left = _hub_links(large, percent, HUBS)
-        links = links.union(to_hubs.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-        links = links.union(_blockwise(large, left, to_hubs, percent, max(family, BLOCK)))
-    joined = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    classes = cut(named.join(joined, "rep", "left").select(*class_of, F.coalesce("component", "rep").alias("component")))
-    return rows.join(classes, class_of, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _blockwise(members: DataFrame, left: DataFrame, settled: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between the sets that no hub settled and their whole families, a block of each against each."""
-    open_ones = left.select("rep", "fam", "n", "arr")
-    known = settled.groupBy("rep").agg(F.min("hub").alias("hub"))
-    deal = lambda size: F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col(size) / block), F.lit(1))).cast("int")
-    counts = cut(members.groupBy("fam").agg(F.count("*").alias("n_all")).join(open_ones.groupBy("fam").agg(F.count("*").alias("n_open")), "fam"))
-    if counts.count() <= BROADCAST_FAMILIES:  # large families are few; beyond this many, the joins are left to shuffle
-        counts = F.broadcast(counts)
-    last = lambda size: (F.greatest(F.ceil(F.col(size) / block), F.lit(1)) - 1).cast("int")
-    rows = open_ones.join(counts, "fam").withColumn("ub", deal("n_open")).withColumn("fb", F.explode(F.sequence(F.lit(0), last("n_all")))).select("fam", "ub", "fb", "rep", "n", "arr", F.lit(True).alias("probe"), F.lit(None).cast("long").alias("hub"))
-    rest = members.select("rep", "fam", "n", "arr").join(known, "rep", "left").join(counts, "fam").withColumn("fb", deal("n_all")).withColumn("ub", F.explode(F.sequence(F.lit(0), last("n_open")))).select("fam", "ub", "fb", "rep", "n", "arr", F.lit(False).alias("probe"), "hub")
 
-    def meet(table: pa.Table) -> pa.Table:
-        frame = table.select(["rep", "n", "probe", "hub"]).to_pandas()
-        frame["arr"] = _arrays(table["arr"])
-        frame = frame.sort_values("probe", ascending=False, kind="stable").drop_duplicates("rep")
-        label = frame["hub"].fillna(frame["rep"]).to_numpy(np.int64)
-        rep = frame["rep"].to_numpy(np.int64)
-        found = tree_join(list(frame["arr"]), frame["n"].to_numpy(np.int64), percent, label, np.flatnonzero(frame["probe"].to_numpy(bool)))
-        out = pd.DataFrame({"a": rep, "was": label, "l": found})
-        out["b"] = out.groupby("l")["a"].transform("min")
-        out = out[(out["a"] != out["b"]) & (out.groupby("l")["was"].transform("nunique") > 1)]
-        return pa.table({"a": pa.array(out["a"].to_numpy(np.int64)), "b": pa.array(out["b"].to_numpy(np.int64))})
-
-    return rows.union(rest).groupBy("fam", "ub", "fb").applyInArrow(meet, "a long, b long")
-
-
-def keep_one(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """The rows of ``docs`` without those whose class has a row of lower id; of rows equal in id and text, one."""
-    found = similarity_classes(docs, percent, n).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not repeated.limit(1).count():
-        return kept
-    order = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
-    alone = kept.join(repeated, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(alone)
+def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = N, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
+    _, rows = _classes(docs, ["doc_id", "text"], percent, n, block)
+    rows = cut(rows)
+    least = cut(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    named = rows.join(least, "label", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, n: int = N, block: int = BLOCK) -> DataFrame:
+    """One row of each class of rows that links connect: the one of least id, nulls last, then the least of all columns' digest.
+
+    Rows without words are linked with nothing, so all of them stay. Rows are told apart by their place, not by
+    their id: rows that share an id but not a class are kept or not each by itself.
+    """
+    chunks, rows = _classes(docs, docs.columns, percent, n, block)
+    rows = cut(rows.where("label is not null"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "chunk", "row")
+    first = cut(rows.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1"))
+    gone = rows.join(first, "label").where(order > F.col("first")).select("chunk", "row")
+
+    def left(chunk: pa.Table, drop: pa.Table) -> pa.Table:
+        batch = ex.unpack(chunk["payload"][0].as_py())
+        stay = np.ones(batch.num_rows, bool)
+        stay[drop["row"].to_numpy()] = False
+        return pa.Table.from_batches([batch.filter(pa.array(stay))])
+
+    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(left, docs.schema)

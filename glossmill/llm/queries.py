@@ -37,7 +37,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.with_next(_table(spark, sf_dir, "documents"))
+    return simhash.fingerprinted(_table(spark, sf_dir, "documents"))
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,8 @@ def _sharding_sql(shards: int = 40) -> str:
         return rows
 
     tree = sharding.layout(shards)
-    rows = f"SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, {_crc32_sql('b')} AS text_crc32, 'key' AS law, {fraction(key + " || ':slot'")} AS h FROM (SELECT *, encode(coalesce(text, '')) AS b, {_CRC} AS crc FROM documents)"
+    rows = f"SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, {_crc32_sql('b')} AS text_crc32, 'key' AS law FROM (SELECT *, encode(coalesce(text, '')) AS b, {_CRC} AS crc FROM documents)"
+    rows = f"SELECT *, {fraction(key + " || ':slot:' || text_crc32")} AS h FROM ({rows})"
     rows = step(step(rows, tree, "now"), sharding.grown(tree), "more")
     return f"SELECT doc_id, size, text_crc32, law, now_s AS shard, row_number() OVER (PARTITION BY now_s ORDER BY h, {key}) - 1 AS slot, more_s AS grown_shard FROM ({rows})"
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 BITS = 52  # of a draw, the first 13 hexadecimal digits of an MD5
 SLOT_ROWS = 100_000
+MAX_BROADCAST = 1_000_000  # rows of the table of range counts, some 30 MB; a larger one is left to a shuffle
 
 
 class Shard(NamedTuple):
@@ -71,21 +72,23 @@ def descend(df: DataFrame, key: Column, tree: list[Shard], name: str) -> DataFra
     return df.withColumn(name, at).drop("_g", "_r", "_s")
 
 
-def slots(df: DataFrame, shard: str, key: Column, name: str = "slot") -> DataFrame:
-    """``df`` with each row's place in its shard, from 0 and without gaps, in order of the key's hash.
+def slots(df: DataFrame, shard: str, key: Column, content: Column, shards: int, name: str = "slot") -> DataFrame:
+    """``df`` with each row's place in its shard, from 0 and without gaps, in order of a hash of key and content.
 
     A shard is ranked in as many hash ranges as its rows need; what lies before a range is summed from counts
-    of ranges, a table of (shards x ranges) rows.
+    of ranges, a table of (shards x ranges) rows. Rows of one key but different content are in different ranges,
+    so a key (or the null key) may hold any share of the rows.
     """
     spread = max(16, df.count() // SLOT_ROWS)
+    small = F.broadcast if spread * shards <= MAX_BROADCAST else lambda x: x
     key = F.coalesce(key.cast("string"), F.lit(""))
-    ranged = df.withColumn("_h", fraction(F.concat(key, F.lit(":slot")))).withColumn("_range", F.floor(F.col("_h") * spread).cast("int"))
+    ranged = df.withColumn("_h", fraction(F.concat(key, F.lit(":slot:"), content.cast("string")))).withColumn("_range", F.floor(F.col("_h") * spread).cast("int"))
     counts = ranged.groupBy(shard, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     order = Window.partitionBy(shard, "_range").orderBy("_h", key)
     ranked = ranged.withColumn("_rank", F.row_number().over(order) - 1)
-    return ranked.join(F.broadcast(offsets), [shard, "_range"]).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_h", "_range", "_before", "_rank")
+    return ranked.join(small(offsets), [shard, "_range"]).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_h", "_range", "_before", "_rank")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -94,4 +97,4 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"))
     placed = descend(descend(rows, F.col("doc_id"), tree, "shard"), F.col("doc_id"), grown(tree), "grown_shard")
-    return slots(placed, "shard", F.col("doc_id")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return slots(placed, "shard", F.col("doc_id"), F.col("text_crc32"), shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -5,7 +5,8 @@ occur. Each term's hash votes on BITS signed bits; a bit of the fingerprint is s
 The likeness of two fingerprints is the cosine that their Hamming distance estimates, 0 at least.
 
 Nulls: a null text is empty; texts without words have the fingerprint 0. A null id comes before all others.
-Rows with one id follow each other in order of text. Empty tables give empty results.
+Rows with one id follow each other in order of a hash of their texts, and may be any share of the rows. Empty
+tables give empty results; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -106,7 +107,8 @@ def with_next(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    spread = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ordered = spread.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     found = cut(ordered.mapInArrow(walk, f"{_FIELDS}, part int, head string, tail string"))
     edge = found.where("part is not null")
     parts = edge.select("part")  # one number a partition
@@ -123,30 +125,47 @@ def with_next(docs: DataFrame) -> DataFrame:
     return found.where("part is null").select(*names[:7]).union(pairs.mapInArrow(close, _FIELDS))
 
 
-def within_radius(prints: DataFrame, radius: int = RADIUS, column: str = "fingerprint", bucket: int = BUCKET) -> DataFrame:
-    """``a, b, distance``: pairs of different fingerprints (hex, a < b) at most ``radius`` bits apart, each once.
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """``query, fingerprint, distance``: the fingerprints (hex) at most ``radius`` bits from each query, itself included.
 
-    The bits are cut into radius + 1 blocks, of which two such fingerprints agree on one at least: table t is
-    keyed by block t. In a bucket of more than ``bucket`` fingerprints the bits outside the block are cut into
-    blocks again, and so on while there are bits, so what meets in the end agrees on nearly all of them.
+    Both inputs have one column ``fingerprint``. The bits are cut into radius + 1 blocks, of which two such
+    fingerprints agree on one at least: table t is keyed by block t. In a bucket of more than ``bucket``
+    fingerprints the bits outside the block are cut into blocks again, and so on while there are bits, so what
+    meets in the end agrees on nearly all of them.
     """
-    one = prints.where(f"{column} is not null").select(F.col(column).alias("fp")).distinct()
     digits = BITS // 4
-    level = cut(one.select("fp", F.lit("").alias("key"), F.col("fp").alias("rest")))
-    pairs = None
+    start = lambda df, own: df.where("fingerprint is not null").distinct().select(F.col("fingerprint").alias("fp"), F.lit("").alias("key"), F.col("fingerprint").alias("rest"), F.lit(own).alias("query"))
+    level = cut(start(prints, False).union(start(queries, True)))
+    met_all = None
     while True:
-        sizes = F.length("rest")
+        size = F.length("rest")
+        edge = lambda t: F.floor(size * t / (radius + 1)).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda t: F.struct(
-            F.concat_ws("|", F.col("key"), t.cast("string"), F.substring(F.col("rest"), F.floor(sizes * t / (radius + 1)).cast("int") + 1, (F.floor(sizes * (t + 1) / (radius + 1)) - F.floor(sizes * t / (radius + 1))).cast("int"))).alias("key"),
-            F.concat(F.substring(F.col("rest"), F.lit(1), F.floor(sizes * t / (radius + 1)).cast("int")), F.substring(F.col("rest"), F.floor(sizes * (t + 1) / (radius + 1)).cast("int") + 1, F.lit(digits))).alias("rest")))
-        table = cut(level.select("fp", F.explode(blocks).alias("x")).select("fp", "x.key", "x.rest"))
-        full = cut(table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+            F.concat_ws("|", F.col("key"), t.cast("string"), F.substring(F.col("rest"), edge(t) + 1, edge(t + 1) - edge(t))).alias("key"),
+            F.concat(F.substring(F.col("rest"), F.lit(1), edge(t)), F.substring(F.col("rest"), edge(t + 1) + 1, F.lit(digits))).alias("rest")))
+        table = cut(level.select("fp", "query", F.explode(blocks).alias("x")).select("fp", "query", "x.key", "x.rest"))
+        full = cut(table.groupBy("key").agg(F.count_if("query").alias("asked"), F.count_if(~F.col("query")).alias("n")).where("asked > 0 and n > 0").select("key", "n"))
         met = table.join(full, "key")
-        small = met.where((F.col("n") <= bucket) | (F.length("rest") <= radius))
-        x, y = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
-        xor = [F.bit_count(F.conv(F.substring("a", 1 + 8 * k, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", 1 + 8 * k, 8), 16, 10).cast("long"))) for k in range(digits // 8)]
-        near = x.join(y, "key").where("a < b").withColumn("distance", sum(xor[1:], xor[0])).where(F.col("distance") <= radius).select("a", "b", "distance")
-        pairs = near if pairs is None else pairs.union(near)
-        level = met.where((F.col("n") > bucket) & (F.length("rest") > radius)).select("fp", "key", "rest")
+        done = (F.col("n") <= bucket) | (F.length("rest") <= radius)
+        x, y = met.where(done & F.col("query")).select("key", F.col("fp").alias("query")), met.where(done & ~F.col("query")).select("key", F.col("fp").alias("fingerprint"))
+        xor = [F.bit_count(F.conv(F.substring("query", 1 + 8 * k, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("fingerprint", 1 + 8 * k, 8), 16, 10).cast("long"))) for k in range(digits // 8)]
+        near = x.join(y, "key").withColumn("distance", sum(xor[1:], xor[0])).where(F.col("distance") <= radius).select("query", "fingerprint", "distance")
+        met_all = near if met_all is None else met_all.union(near)
+        level = met.where(~done).select("fp", "key", "rest", "query")
         if not level.limit(1).count():
-            return pairs.distinct()
+            return met_all.distinct()
+
+
+def fingerprinted(docs: DataFrame, every: int = 50, radius: int = RADIUS) -> DataFrame:
+    """``with_next``, and ``n_within``: how many rows' fingerprints lie within ``radius`` bits of the row's own.
+
+    It is asked for rows whose id is divisible by ``every`` and null for the others; the row itself counts. A
+    text without words has fingerprint 0 and is near the others of that kind.
+    """
+    rows = cut(with_next(docs))
+    counts = cut(rows.groupBy("fingerprint").agg(F.count("*").alias("rows")))
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    found = within_radius(rows.where(asked).select("fingerprint"), counts.select("fingerprint"), radius)
+    sums = cut(found.join(counts, "fingerprint").groupBy("query").agg(F.sum("rows").alias("n_within")).withColumnRenamed("query", "fingerprint"))
+    known = rows.where(asked).join(sums, "fingerprint").select(*rows.columns, "n_within")
+    return known.union(rows.where(~asked).withColumn("n_within", F.lit(None).cast("long")))

@@ -1,15 +1,18 @@
 """Substring dedup over sliding sentence spans.
 
-A sentence ends with the word that ends in . ! or ? (closing quotes or brackets may follow), or at the end of
-a line. A sentence of over LONG words is cut behind every word whose hash has its top three bits unset, so that
-a passage is cut alike wherever it starts, and after CAP words without one; the parts count as sentences.
-From every sentence on, the run of the fewest sentences, RUN at least, with LEAST words or more is hashed by
-its words and looked up in the whole corpus. Of equal runs the first, by (doc_id, place), stays; each sentence
-that a later one covers is removed, with the white space behind it. The rest of a text stays byte for byte.
+A sentence ends with the word that ends in . ! or ? (closing quotes or brackets may follow), at the end of a
+line, and behind every word whose hash has its top two bits unset: one rule for all texts, which looks at
+nothing but the word and what follows it, so a passage is cut alike in any surroundings, punctuated or not.
+
+Runs of several lengths are hashed: from every sentence on, and up to every sentence, the run of the fewest
+sentences, RUN at least, with LEAST words or more. A text that has no such run is one run by itself. So every
+repeated stretch of RUN sentences and LEAST words is covered to its ends. Runs are looked up in the whole corpus
+by 128 bits of hash. Of equal runs the first, by (doc_id, place), stays; each sentence that a later one covers is
+removed, with the white space behind it. The rest of a text stays byte for byte.
 
 Nulls: a null text stays null and has no sentences; a row with a null id comes after all others. Repeated
 rows are different documents here: the first keeps what the others lose. Empty tables give empty results.
-Other columns pass through under any name except ``n_sentences`` and ``n_removed``.
+Other columns pass through; the two figures have names of the caller's choice, so they can't clash.
 """
 
 from __future__ import annotations
@@ -26,10 +29,7 @@ from . import exchange as ex
 from . import textscan as ts
 
 RUN = 2
-LEAST = 12
-LONG = 16
-CAP = 24
-_INVERSE = np.uint64(pow(int(ts.powers(2)[1]), -1, 1 << 64))
+LEAST = 10
 _COARSE = np.uint64(8)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
@@ -48,19 +48,14 @@ def sentences(w: ts.Words) -> np.ndarray:
     ends = _STOP[w.buf[last]]
     ends[:-1] |= lines[w.start[1:]] > lines[w.end[:-1]]  # a text ends with a newline, so it ends a sentence too
     ends[-1] = True
-    total = len(w.hash)
-    head = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
-    size = np.diff(np.append(head, total))
-    ends |= np.repeat(size > LONG, size) & (w.hash >> np.uint64(61) == 0)
-    head = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
-    place = np.arange(total) - np.repeat(head, np.diff(np.append(head, total)))
-    return np.append(np.flatnonzero(place % CAP == 0), total)
+    ends |= w.hash >> np.uint64(62) == 0
+    return np.append(np.flatnonzero(np.concatenate([[True], ends[:-1]])), len(w.hash))
 
 
-def runs(texts: list[bytes], run: int = RUN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Hash, text, first sentence and number of sentences of each run of a list of texts; byte places of each text's sentences."""
+def runs(texts: list[bytes], run: int = RUN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Two hashes, text, first sentence and number of sentences of each run of a list of texts; byte places of each text's sentences."""
     none = np.zeros(0, np.int64)
-    found, places = [(np.zeros(0, np.uint64), none, none, none)], []
+    found, places = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none)], []
     for i, part in ts.blocks(texts):
         w = ts.scan_words(part)
         head = sentences(w)
@@ -69,45 +64,53 @@ def runs(texts: list[bytes], run: int = RUN, least: int = LEAST) -> tuple[np.nda
         for k in range(len(part)):
             a, b = first[k], first[k + 1]
             places.append(np.append(w.start[head[a:b]] - w.doc_start[k], len(part[k])) if b > a else none)
-        begin = np.arange(len(of))
-        stop = np.maximum(begin + run, np.searchsorted(head, head[:-1] + least))
-        take = np.flatnonzero(stop <= first[of + 1])
-        begin, stop = begin[take], stop[take]
-        n = len(w.hash)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * ts.powers(n + 1)[:n], dtype=np.uint64)])
-        back = np.full(n + 1, _INVERSE, np.uint64)
-        back[0] = 1
-        back = np.cumprod(back, dtype=np.uint64)
-        a, b = head[begin], head[stop]
-        h = ts.mix((sums[b] - sums[a]) * back[a] ^ ts.mix((b - a).astype(np.uint64)))
-        found.append((h, of[take] + i, begin - first[of[take]], stop - begin))
+        each = np.arange(len(of))
+        stop = np.maximum(each + run, np.searchsorted(head, head[:-1] + least))
+        ahead = stop <= first[of + 1]
+        begin = np.minimum(each + 1 - run, np.searchsorted(head, head[1:] - least, "right") - 1)
+        back = begin >= first[of]
+        has = np.zeros(len(part), bool)
+        has[of[ahead]] = True
+        whole = np.flatnonzero(~has & (np.diff(first) > 0))
+        a = np.concatenate([each[ahead], begin[back], first[whole]])
+        b = np.concatenate([stop[ahead], each[back] + 1, first[whole + 1]])
+        pairs = np.unique(a << 32 | b)
+        a, size = pairs >> 32, (pairs & 0xFFFFFFFF) - (pairs >> 32)
+        one = ts.sequence_hashes(w.hash, head[:-1], np.diff(head))
+        hashes = [np.full(len(a), seed, np.uint64) for seed in (1, 2)]
+        for k in range(int(size.max(initial=0))):
+            more = size > k
+            for h in hashes:
+                h[more] = ts.mix(h[more] + one[a[more] + k])
+        found.append((*hashes, of[a] + i, a - first[of[a]], size))
     return *(np.concatenate(x) for x in zip(*found, strict=True)), places
 
 
-def remove_spans(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
-    """``docs`` with the repeated sentences removed from ``text``, and n_sentences and n_removed beside."""
+def remove_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, figures: tuple[str, str] = ("n_sentences", "n_removed")) -> DataFrame:
+    """``docs`` with the repeated sentences removed from ``text``, and beside it its sentences and how many of them went."""
     spark = docs.sparkSession
     names = docs.columns
     chunks = ex.chunk_table(docs, names)
+    total = ex.corpus_bytes(chunks)
 
     def keys(batch: pa.RecordBatch) -> np.ndarray:
         return runs(ts.texts_of(batch, "text"), run, least)[0] >> _COARSE << _COARSE
 
     def repeated(batch: pa.RecordBatch, again: np.ndarray) -> pa.Table:
-        h, text, at, size, _ = runs(ts.texts_of(batch, "text"), run, least)
+        h, check, text, at, size, _ = runs(ts.texts_of(batch, "text"), run, least)
         _, which = np.unique(h >> _COARSE << _COARSE, return_inverse=True)
         hit = np.flatnonzero(again[which]) if len(h) else np.zeros(0, np.int64)
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        return pa.table({"hash": pa.array(h[hit].view(np.int64)), "doc_id": ids.take(pa.array(text[hit])), "row": pa.array(text[hit]), "at": pa.array(at[hit]), "size": pa.array(size[hit])})
+        return pa.table({"hash": pa.array(h[hit].view(np.int64)), "check": pa.array(check[hit].view(np.int64)), "doc_id": ids.take(pa.array(text[hit])), "row": pa.array(text[hit]), "at": pa.array(at[hit]), "size": pa.array(size[hit])})
 
-    answers = ex.occurs_again(chunks, keys, ex.bucket_count(ex.corpus_bytes(chunks) // 40))
-    hits = cut(_with_chunk(chunks, answers, repeated))
+    answers = ex.occurs_again(chunks, keys, ex.bucket_count(total // 12, total))
+    hits = cut(ex.with_answers(chunks, answers, repeated, "hash long, check long, doc_id long, row long, at long, size long"))
     release(spark)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "chunk", "row", "at")
-    firsts = cut(hits.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first"))
-    later = hits.join(firsts, "hash").where(order > F.col("first")).select("chunk", "row", "at", "size").distinct()
+    firsts = cut(hits.groupBy("hash", "check").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "check", "first"))
+    later = hits.join(firsts, ["hash", "check"]).where(order > F.col("first")).select("chunk", "row", "at", "size").distinct()
 
-    shape = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    shape = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in figures)])
 
     def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = ex.unpack(left["payload"][0].as_py())
@@ -130,14 +133,7 @@ def remove_spans(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFra
             lost.append(len(cut_out))
         columns = list(batch.columns)
         columns[at_text] = pa.array(out, pa.binary()).cast(pa.string())
-        return pa.table([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "n_sentences", "n_removed"])
+        return pa.table([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*names, *figures])
 
     return chunks.select("chunk", "payload").groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(cleaned, shape)
 
-
-def _with_chunk(chunks: DataFrame, answers: DataFrame, work) -> DataFrame:
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = work(ex.unpack(left["payload"][0].as_py()), ex.flags_of(right))
-        return out.append_column("chunk", pa.array([left["chunk"][0].as_py()] * out.num_rows, pa.int64()))
-
-    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, "hash long, doc_id long, row long, at long, size long, chunk long")

@@ -36,7 +36,8 @@ LENGTH = 200
 PASSES = 2  # a power of two: so many blocks of suffix buckets are sorted one after the other, which bounds the disk needed
 Q = 11  # the cover's modulus is Q*Q + Q + 1 = 133
 _COARSE = np.uint64(16)
-_INVERSE = np.uint64(pow(int(ts.powers(2)[1]), -1, 1 << 64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 @lru_cache(8)
@@ -64,7 +65,7 @@ def rolling(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums from which the hash of any byte range of ``buf`` follows."""
     n = len(buf)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * ts.powers(n + 1)[:n], dtype=np.uint64, out=sums[1:])
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)]))[:n], dtype=np.uint64, out=sums[1:])
     steps = np.full(n + 1, _INVERSE, np.uint64)
     steps[0] = 1
     return sums, np.cumprod(steps, dtype=np.uint64)

@@ -14,22 +14,14 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MULT = np.uint64(_BASE)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SIZE = np.uint64(0xD6E8FEB86659FD93)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-
-
-def powers(n: int, _kept: list[np.ndarray] = [np.ones(1, np.uint64)]) -> np.ndarray:  # noqa: B006
-    """The first n powers of the hash base, modulo 2**64."""
-    if len(_kept[0]) < n:
-        steps = np.full(max(n, 4096), _MULT, np.uint64)
-        steps[0] = 1
-        _kept[0] = np.cumprod(steps, dtype=np.uint64)
-    return _kept[0][:n]
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,6 +34,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def at_place(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Values mixed with their place in a sequence; sums of them hash the sequence."""
+    return mix(values + (place.astype(np.uint64) + np.uint64(1)) * _STEP)
+
+
+def sequence_hashes(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each of some consecutive, non-empty runs that together are ``values`` from ``first[0]`` on.
+
+    Every value is mixed with its place before the sum is taken, so no regular pattern of values cancels out.
+    """
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    terms = at_place(values[first[0] : first[0] + len(place)], place)
+    return mix(np.add.reduceat(terms, np.cumsum(size) - size) ^ size.astype(np.uint64) * _SIZE)
+
+
+def chained(values: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """A hash of the n values from each place of ``at`` on."""
+    h = np.full(len(at), seed, np.uint64)
+    for k in range(n):
+        h = mix(h + values[at + k])
+    return h
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as bytes; null becomes empty."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -84,20 +101,19 @@ def lay(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each byte range; ranges are in order and don't overlap."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+    """A hash of each byte range; ranges don't overlap. Eight bytes at a time are mixed with their place, then summed."""
     size = end - start
-    out = np.zeros(len(start), np.uint64)
-    full = size > 0
-    start, size = start[full], size[full]
-    if not len(start):
-        return mix(out)
-    at = np.concatenate([[0], np.cumsum(size)])
-    within = np.arange(at[-1]) - np.repeat(at[:-1], size)
-    terms = (buf[np.repeat(start, size) + within].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[within]
-    out[full] = np.add.reduceat(terms, at[:-1])
-    return mix(out)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
+    out = at_place(eights[start] & _KEEP[np.minimum(size, 8)], np.zeros(1))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        steps = (size[long] - 1) // 8  # beyond the first eight bytes
+        place = 1 + np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps)
+        at = np.repeat(start[long], steps) + 8 * place
+        left = np.repeat(end[long], steps) - at
+        out[long] += np.add.reduceat(at_place(eights[at] & _KEEP[np.minimum(left, 8)], place), np.cumsum(steps) - steps)
+    return mix(out ^ size.astype(np.uint64) * _SIZE)
 
 
 def scan_words(texts: list[bytes], lower: bool = False) -> Words:
@@ -117,11 +133,8 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     m = len(words.hash) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.zeros(m, np.uint64)
-    for k in range(n):
-        h += words.hash[k : k + m] * powers(n + 1)[k + 1]
     at = np.flatnonzero(words.doc[:m] == words.doc[n - 1 :])
-    return mix(h[at]), at
+    return chained(words.hash, at, n), at
 
 
 def in_text(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
