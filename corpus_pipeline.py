@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glossmill.llm import jaccard, packing, quality, spans
 from glossmill.llm.queries import tokenizer_path
-from glossmill.plans.lineage import ensure_checkpoint_dir
+from glossmill.plans.lineage import cut, ensure_checkpoint_dir, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +23,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of documents that links of Jaccard similarity connect: the one of least id."""
+    """One row of each class of documents that links of Jaccard similarity connect: the one of least id."""
     return jaccard.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated spans of sentences stay where they come first; n_chars follows the text."""
-    kept = spans.remove_spans(docs)
+    mark = uuid.uuid4().hex
+    kept = spans.remove_spans(docs, figures=(f"sentences_{mark}", f"removed_{mark}"))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        kept = kept.withColumn("n_chars", F.when(F.col(f"removed_{mark}") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
@@ -42,7 +43,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("best_fit_packing", best_fit_packing)]
 
-# Hashed n-grams, tokenizer files and packing are beyond SQL; tests/llm compares run() with a plain version.
+# Hashed n-grams, tokenizer files and packing are beyond SQL; tests/llm/test_pipeline.py compares run() with a plain version.
 ORACLE_SQL = None
 
 
@@ -52,4 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = cut(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, folder)
+    return packed
