@@ -27,13 +27,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     now = cut(edges.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), True)
     state = None
-    while True:
-        roots = now.select(F.col("v").alias("u")).join(now.select("u"), "u", "left_semi").limit(1).count()
-        if not roots and not now.groupBy("u").count().where("count > 1").limit(1).count():
-            break  # every node points to one root, and no root points on
+    while True:  # until a round changes nothing
         now = cut(_star(_star(now, True), False), True)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == state:
+        if mark == state or not mark[0]:
             break
         state = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -175,20 +175,22 @@ def _hub_links(tokens: DataFrame, sets: DataFrame, percent: int, block: int) ->
     both = members.select(*columns, F.lit(False).alias("probe")).union(here.withColumn("c", F.col("hub")).select(*columns, F.lit(True)))
 
     def meet(table: pa.Table) -> pa.Table:
-        names, apart = table["c"].to_pylist(), np.arange(table.num_rows)
-        found = tree_join(_arrays(table["arr"]), table["n"].to_numpy(), percent, None, np.flatnonzero(np.asarray(table["probe"]).astype(bool)))
-        return _links(names, apart, found)
+        names, hub = table["c"].to_pylist(), np.flatnonzero(np.asarray(table["probe"]).astype(bool))
+        found = tree_join(_arrays(table["arr"]), table["n"].to_numpy(), percent, None, hub)
+        near = [names[i] for i in np.flatnonzero(found == found[hub[0]]).tolist() if i != hub[0]]
+        return pa.table({"a": pa.array(near, pa.binary()), "b": pa.array([names[hub[0]]] * len(near), pa.binary())})
 
     return both.groupBy("hub", "part").applyInArrow(meet, "a binary, b binary")
 
 
-def _group_links(tokens: DataFrame, sets: DataFrame, joined: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links within the groups that ``joined`` (node, component) has left in several components.
+def _group_links(tokens: DataFrame, sets: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links within the groups whose sets the hubs' ``links`` haven't all joined to one hub.
 
     Groups that share sets form a family. A family whose sets are in more groups each than it has parts is
     walked as one group, which brings each set to fewer trees; the groups of any other are walked one by one.
     """
-    known = tokens.join(joined.withColumnRenamed("node", "c"), "c", "left").select("token", "c", F.coalesce("component", "c").alias("label"))
+    hubs = links.select(F.col("b").alias("c"), F.col("b").alias("hub")).union(links.select("a", "b")).groupBy("c").agg(F.min("hub").alias("hub"))
+    known = tokens.join(hubs, "c", "left").select("token", "c", F.coalesce("hub", "c").alias("label"))
     open_ = cut(known.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("c").alias("least")).where("low < high").select("token", "size", "least"))
     members = cut(known.join(open_, "token").select("token", "size", "least", "c", "label"))
     family = cut(components(members.select("least", "c"), "least", "c").select(F.col("node").alias("c"), F.col("component").alias("family")))
@@ -272,7 +274,7 @@ def _classes(docs: DataFrame, columns: list[str], percent: int, n: int, block: i
     tokens = cut(prefix.join(chosen, "token", "left_semi"))
     release(spark)
     links = cut(_hub_links(tokens, sets, percent, block))
-    more = cut(_group_links(tokens, sets, components(links, "a", "b"), percent, block))
+    more = cut(_group_links(tokens, sets, links, percent, block))
     release(spark)
     joined = cut(components(links.union(more), "a", "b").select(F.col("node").alias("c"), "component"))
     return chunks, rows.drop("arr").join(joined, "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component", "c")
