@@ -138,6 +138,46 @@ def occurs_again(chunks: DataFrame, keys_of: Callable[..., np.ndarray], buckets:
     return sent.groupBy("bucket").applyInArrow(settle, "chunk long, bucket int, n long, flags binary")
 
 
+def loses(chunks: DataFrame, given: DataFrame, found_in: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+    """``chunk, bucket, n, flags``: for the distinct (key, check) of every chunk, in order, does a row of another chunk come first?
+
+    ``found_in(rows, flags)`` gives key, check, id and whether the id is null of all occurrences in a chunk. Ids
+    are in order, nulls last; of equal ids the lower chunk comes first. A chunk sends one entry a key, its first.
+    """
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    planes = lambda x: zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+    flat = lambda b, n: np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, n).T).view(np.int64).ravel()
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, check, ids, null = found_in(unpack(left["payload"][0].as_py()), flags_of(right))
+        order = np.lexsort((ids, null, check, key))
+        key, check, ids, null = key[order], check[order], ids[order], null[order]
+        one = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])]) if len(key) else np.zeros(0, bool)
+        key, check, ids, null = key[one], check[one], ids[one], null[one]
+        cuts = np.concatenate([np.searchsorted(key, np.arange(buckets, dtype=np.uint64) << shift), [len(key)]])
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        part = lambda x: [x[cuts[b] : cuts[b + 1]] for b in full]
+        return pa.table({
+            "chunk": pa.array([left["chunk"][0].as_py()] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "n": pa.array(np.diff(cuts)[full], pa.int64()), "keys": pa.array([encode(x) for x in part(key)], pa.binary()),
+            "checks": pa.array([x.tobytes() for x in part(check)], pa.binary()), "ids": pa.array([planes(x) for x in part(ids)], pa.binary()), "nulls": pa.array([np.packbits(x).tobytes() for x in part(null)], pa.binary()),
+        })
+
+    def settle(table: pa.Table) -> pa.Table:
+        sizes = table["n"].to_pylist()
+        all_of = lambda name, read: np.concatenate([read(b, n) for b, n in zip(table[name].to_pylist(), sizes, strict=True)])
+        key, check = all_of("keys", decode), all_of("checks", lambda b, n: np.frombuffer(b, np.uint64))
+        ids, null = all_of("ids", flat), all_of("nulls", lambda b, n: np.unpackbits(np.frombuffer(b, np.uint8), count=n))
+        order = np.lexsort((np.repeat(table["chunk"].to_numpy(), sizes), ids, null, check, key))
+        key, check = key[order], check[order]
+        lost = np.zeros(len(key), bool)
+        lost[order[1:]] = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
+        ends = np.cumsum(sizes)
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "n": table["n"], "flags": pa.array([np.packbits(lost[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+
+    sent = chunks.select("chunk", "payload").groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(send, "chunk long, bucket int, n long, keys binary, checks binary, ids binary, nulls binary")
+    return sent.groupBy("bucket").applyInArrow(settle, "chunk long, bucket int, n long, flags binary")
+
+
 def flags_of(answers: pa.Table) -> np.ndarray:
     """A chunk's answers as one array, beside its sorted distinct keys."""
     rows = sorted(zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["flags"].to_pylist(), strict=True))

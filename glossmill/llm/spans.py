@@ -17,6 +17,8 @@ Other columns pass through; the two figures have names of the caller's choice, s
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,10 +54,25 @@ def sentences(w: ts.Words) -> np.ndarray:
     return np.append(np.flatnonzero(np.concatenate([[True], ends[:-1]])), len(w.hash))
 
 
-def runs(texts: list[bytes], run: int = RUN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Two hashes, text, first sentence and number of sentences of each run of a list of texts; byte places of each text's sentences."""
+class Runs(NamedTuple):
+    """The runs of a list of texts: two hashes, text, first sentence, number of sentences.
+
+    ``lead`` is the place, among the runs, of the shortest run from the same sentence on: it lies within the run,
+    so a run can only be repeated if its lead is. ``places`` are the byte places of each text's sentences.
+    """
+
+    hash: np.ndarray
+    check: np.ndarray
+    text: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    lead: np.ndarray
+    places: list[np.ndarray]
+
+
+def runs(texts: list[bytes], run: int = RUN, least: int = LEAST) -> Runs:
     none = np.zeros(0, np.int64)
-    found, places = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none)], []
+    found, places, done = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none, none)], [], 0
     for i, part in ts.blocks(texts):
         w = ts.scan_words(part)
         head = sentences(w)
@@ -82,8 +99,10 @@ def runs(texts: list[bytes], run: int = RUN, least: int = LEAST) -> tuple[np.nda
             more = size > k
             for h in hashes:
                 h[more] = ts.mix(h[more] + one[a[more] + k])
-        found.append((*hashes, of[a] + i, a - first[of[a]], size))
-    return *(np.concatenate(x) for x in zip(*found, strict=True)), places
+        lead = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))[np.cumsum(np.concatenate([[False], a[1:] != a[:-1]]))] if len(a) else none
+        found.append((*hashes, of[a] + i, a - first[of[a]], size, lead + done))
+        done += len(a)
+    return Runs(*(np.concatenate(x) for x in zip(*found, strict=True)), places)
 
 
 def remove_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, figures: tuple[str, str] = ("n_sentences", "n_removed")) -> DataFrame:
@@ -94,21 +113,27 @@ def remove_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, figures: t
     total = ex.corpus_bytes(chunks)
 
     def keys(batch: pa.RecordBatch) -> np.ndarray:
-        return runs(ts.texts_of(batch, "text"), run, least)[0] >> _COARSE << _COARSE
-
-    def repeated(batch: pa.RecordBatch, again: np.ndarray) -> pa.Table:
-        h, check, text, at, size, _ = runs(ts.texts_of(batch, "text"), run, least)
-        _, which = np.unique(h >> _COARSE << _COARSE, return_inverse=True)
-        hit = np.flatnonzero(again[which]) if len(h) else np.zeros(0, np.int64)
+        r = runs(ts.texts_of(batch, "text"), run, least)
+        return r.hash[r.lead == np.arange(len(r.lead))] >> _COARSE << _COARSE
+
+    def hits(batch: pa.RecordBatch, again: np.ndarray) -> tuple[Runs, np.ndarray]:
+        """The runs of a chunk, and which of them have a lead that may be repeated."""
+        r = runs(ts.texts_of(batch, "text"), run, least)
+        lead = np.flatnonzero(r.lead == np.arange(len(r.lead)))
+        may = np.zeros(len(r.lead), bool)
+        if len(lead):
+            may[lead] = again[np.unique(r.hash[lead] >> _COARSE << _COARSE, return_inverse=True)[1]]
+        return r, np.flatnonzero(may[r.lead])
+
+    def found_in(batch: pa.RecordBatch, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        r, hit = hits(batch, again)
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        return pa.table({"hash": pa.array(h[hit].view(np.int64)), "check": pa.array(check[hit].view(np.int64)), "doc_id": ids.take(pa.array(text[hit])), "row": pa.array(text[hit]), "at": pa.array(at[hit]), "size": pa.array(size[hit])})
+        text = r.text[hit]
+        return r.hash[hit], r.check[hit], ids.fill_null(0).to_numpy(zero_copy_only=False)[text].astype(np.int64), np.asarray(ids.is_null())[text].astype(bool)
 
-    answers = ex.occurs_again(chunks, keys, ex.bucket_count(total // 12, total))
-    hits = cut(ex.with_answers(chunks, answers, repeated, "hash long, check long, doc_id long, row long, at long, size long"))
+    answers = cut(ex.occurs_again(chunks, keys, ex.bucket_count(total // 20, total)))
+    lost = cut(ex.loses(chunks, answers, found_in, ex.bucket_count(total // 20, total)))
     release(spark)
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "chunk", "row", "at")
-    firsts = cut(hits.groupBy("hash", "check").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "check", "first"))
-    later = hits.join(firsts, ["hash", "check"]).where(order > F.col("first")).select("chunk", "row", "at", "size").distinct()
 
     shape = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in figures)])
 
@@ -117,16 +142,24 @@ def remove_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, figures: t
         texts = ts.texts_of(batch, "text")
         at_text = batch.schema.get_field_index("text")
         null = batch.column(at_text).is_null().to_pylist()
-        places = runs(texts, run, least)[-1]
+        second = np.asarray(right["second"]).astype(bool)
+        r, hit = hits(batch, ex.flags_of(right.filter(pa.array(~second))))
+        later = ex.flags_of(right.filter(pa.array(second)))
+        ids = batch.column(batch.schema.get_field_index("doc_id"))
+        rank = np.empty(batch.num_rows, np.int64)  # of the rows, by id, nulls last, then by place
+        rank[np.lexsort((np.arange(batch.num_rows), ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()).astype(bool)))] = np.arange(batch.num_rows)
+        order = np.lexsort((r.at[hit], rank[r.text[hit]], r.check[hit], r.hash[hit]))
+        key, check = r.hash[hit][order], r.check[hit][order]
+        one = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])]) if len(key) else np.zeros(0, bool)
         gone: dict[int, set[int]] = {}
-        for row, at, size in zip(*(right[c].to_pylist() for c in ("row", "at", "size")), strict=True):
-            gone.setdefault(row, set()).update(range(at, at + size))
+        for k in hit[order[~one | later[np.cumsum(one) - 1]]].tolist() if len(key) else ():
+            gone.setdefault(int(r.text[k]), set()).update(range(int(r.at[k]), int(r.at[k] + r.size[k])))
         out, total, lost = [], [], []
         for i, t in enumerate(texts):
             cut_out = gone.get(i, ())
-            n = max(0, len(places[i]) - 1)
+            p = r.places[i]
+            n = max(0, len(p) - 1)
             if cut_out:
-                p = places[i]
                 t = t[: p[0]] + b"".join(t[p[k] : p[k + 1]] for k in range(n) if k not in cut_out)
             out.append(None if null[i] else t)
             total.append(n)
@@ -135,5 +168,5 @@ def remove_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, figures: t
         columns[at_text] = pa.array(out, pa.binary()).cast(pa.string())
         return pa.table([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*names, *figures])
 
-    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(cleaned, shape)
-
+    both = answers.withColumn("second", F.lit(False)).union(lost.withColumn("second", F.lit(True)))
+    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cleaned, shape)

@@ -195,7 +195,7 @@ def test_hashes_tell_regular_texts_apart(spark):
     apart = [" ".join(x) + "." for x in (one, two)]
     rows = spark.createDataFrame([(1, one), (2, two), (3, apart[0]), (4, apart[1])], "doc_id long, text string")
     assert [r.component_id for r in jaccard.similarity_classes(rows).orderBy("doc_id").collect()][:2] == [1, 2]
-    first = [tuple(x[k][0] for k in (0, 1)) for x in (spans.runs([t.encode()]) for t in (one, two))]
+    first = [(x.hash[0], x.check[0]) for x in (spans.runs([t.encode()]) for t in (one, two))]
     assert first[0] != first[1]
     assert (simhash.fingerprints([one.encode()]) != simhash.fingerprints([two.encode()])).any()
 
