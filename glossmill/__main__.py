@@ -25,7 +25,10 @@ def _lexicon(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def _model(spark: SparkSession, path: str) -> bayes.Model:
-    """A model file of JSON, or a folder of Parquet tables."""
+    """A model file of JSON, or a folder (without suffix) of Parquet tables."""
+    suffix = os.path.splitext(path.rstrip("/"))[1]
+    if suffix not in ("", ".json"):
+        raise SystemExit(f"{path}: models are .json files or folders, not {suffix}")
     return bayes.load_json(spark, path) if path.endswith(".json") else bayes.load(spark, path)
 
 
@@ -50,11 +53,13 @@ def _give(rows: DataFrame, column: str, output: str | None) -> None:
 
 
 def identify(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Every argument together is one text; or every line of ``--input`` is one."""
+    """Every argument together is one text; or every line of ``--input``, or else of standard input, is one."""
     if a.input:
         docs = spark.read.text(a.input).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
-    else:
+    elif a.text:
         docs = spark.createDataFrame([(0, " ".join(a.text))], "id long, text string")
+    else:
+        docs = spark.createDataFrame([(i, line.rstrip("\n")) for i, line in enumerate(sys.stdin)], "id long, text string")
     tokens = Identifier(_lexicon(spark, a.lexicon), _model(spark, a.model)).identify(docs, "id", "text")
     origins = words.annotate_origins(tokens, readers.read_origins(spark, a.origins)) if a.origins else None
     if a.json:
@@ -77,8 +82,18 @@ def wordlist(spark: SparkSession, a: argparse.Namespace) -> None:
     """Word counts of plain texts and frequency lists as a word list with purities."""
     parts = [words.word_counts(readers.read_sentences(spark, p, x, a.limit), "text", "label") for x, p in _labelled_paths(a.text)]
     parts += [words.frequency_counts(readers.parse_frequency(spark.read.text(p), "value", x), "word", "label", "n") for x, p in _labelled_paths(a.freq)]
+    if a.table:
+        table = spark.read.json(a.table) if a.table.endswith((".jsonl", ".json")) else spark.read.parquet(a.table)
+        table = table.withColumn("_id", F.monotonically_increasing_id())
+        columns = {c: x for x, c in _labelled_paths(a.col)}
+        if readers.language_columns(table, columns, (a.src_col, a.tgt_col)) == "columns":
+            texts = words.unpivot_languages(table, "_id", {c: x for c, x in columns.items() if c in table.columns})
+        else:
+            named = {"src": a.src_col, "tgt": a.tgt_col, "src_lang": a.src_lang_col, "tgt_lang": a.tgt_lang_col, "provenance": a.provenance_col}
+            texts = words.unpivot_pairs(table.select("_id", *((F.col(c) if c in table.columns else F.lit(None).cast("string")).alias(k) for k, c in named.items())), "_id", tuple(a.exclude))
+        parts.append(words.word_counts(texts, "text", "lang"))
     if not parts:
-        raise SystemExit("give --text or --freq")
+        raise SystemExit("give --text, --freq or --table")
     counts = parts[0]
     for p in parts[1:]:
         counts = counts.unionByName(p)
@@ -89,6 +104,8 @@ def spans(spark: SparkSession, a: argparse.Namespace) -> None:
     """Transcripts with marked spans as a CoNLL file."""
     lines = readers.numbered_lines(spark, a.input).select(F.concat_ws(":", "file", F.format_string("%010d", "line_no")).alias("id"), "line")
     rows = words.marked_spans(lines, "id", "line")
+    for r in words.span_statistics(lines, "id", rows, only_switched=a.only_switched).collect():
+        print(f"{r.stat}\t{r.n}")
     if a.only_switched:
         rows = rows.join(rows.where("label = 'fra'").select("id").distinct(), "id", "left_semi")
     readers.write_conll(rows, "id", a.output, "token, tab, label; a blank line ends a sentence")
@@ -118,6 +135,32 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     metrics.accuracy(table).show(truncate=False)
 
 
+def benchmark(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Accuracy on aligned lines of two languages, informal spelling and spliced texts, and the mean of the four."""
+    side = lambda path: readers.numbered_lines(spark, path).select("line_no", F.col("line").alias("text"))
+    pairs = words.aligned(side(a.host), side(a.guest), ["line_no"]).select(F.col("line_no").cast("long").alias("id"), F.col("a").alias("host"), F.col("b").alias("guest"))
+    if a.limit:
+        pairs = pairs.orderBy("id").limit(a.limit)
+    identifier = Identifier(_lexicon(spark, a.lexicon), _model(spark, a.model))
+    table = metrics.suites(lambda texts: identifier.identify(texts, "id", "text"), pairs, "id", "host", "guest").cache()
+    table.show(truncate=False)
+    metrics.macro(table).show(truncate=False)
+
+
+def build(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Word list, model and JSON export in one folder; steps whose results are there already are left out."""
+    at = lambda name: f"{a.output}/{name}"
+    fs = lambda path: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    done = lambda name: fs(at(name)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs(f"{at(name)}/_SUCCESS"))
+    p = parser()
+    more = [x for option, values in (("--text", a.text), ("--freq", a.freq)) for v in values for x in (option, v)]
+    steps = [("words", ["wordlist", *more, "--output", at("words")]), ("model/stats", ["train", "--word-list", at("words"), "--min-count", "3", "--min-purity", "0.9", "--augment", "--output", at("model"), *(("--lexicon", a.lexicon) if a.lexicon else ())]), ("model.json", ["export", "--model", at("model"), "--prune", str(a.prune), "--output", at("model.json")])]
+    for name, argv in steps:
+        if not done(name):
+            step = p.parse_args(argv)
+            step.run(spark, step)
+
+
 def export(spark: SparkSession, a: argparse.Namespace) -> None:
     """A model as JSON, without rare grams."""
     model = _model(spark, a.model)
@@ -136,13 +179,15 @@ def parser() -> argparse.ArgumentParser:
 
     must, may, flag, many = {"required": True}, {}, {"action": "store_true"}, {"action": "append", "default": []}
     job(identify, ("text", {"nargs": "*"}), ("--input", may), ("--model", must), ("--lexicon", may), ("--origins", may), ("--words", flag), ("--json", flag), ("--output", may))
-    job(wordlist, ("--text", many), ("--freq", many), ("--limit", {"type": int}), ("--output", must))
+    job(wordlist, ("--text", many), ("--freq", many), ("--limit", {"type": int}), ("--table", may), ("--col", many), ("--src-col", {"default": "src"}), ("--tgt-col", {"default": "tgt"}), ("--src-lang-col", {"default": "src_lang"}), ("--tgt-lang-col", {"default": "tgt_lang"}), ("--provenance-col", {"default": "provenance"}), ("--exclude", many), ("--output", must))
     job(spans, ("--input", must), ("--only-switched", flag), ("--output", must))
     job(
         train, ("--conll", many), ("--word-list", many), ("--lexicon", may), ("--min-count", {"type": int, "default": 1}), ("--min-purity", {"type": float, "default": 0.0}),
         ("--keep-ambiguous", flag), ("--augment", flag), ("--alpha", {"type": float, "default": 0.1}), ("--prune", {"type": int, "default": 1}), ("--json", flag), ("--output", must),
     )
     job(evaluate, ("--gold", must), ("--model", must), ("--lexicon", may), ("--stay", {"type": float, "default": 0.8}))
+    job(benchmark, ("--host", must), ("--guest", must), ("--model", must), ("--lexicon", may), ("--limit", {"type": int}))
+    job(build, ("--text", many), ("--freq", many), ("--lexicon", may), ("--prune", {"type": int, "default": 1}), ("--output", must))
     job(export, ("--model", must), ("--prune", {"type": int, "default": 1}), ("--output", must))
     return p
 

@@ -26,6 +26,7 @@ TAG = rf"[@#][{WORDISH}]+"
 NUMBER = rf"[{DIGIT}]+(?:[.,:/][{DIGIT}]+)*(?:[{LETTER}{MARK}][{LETTER}{MARK}{DIGIT}]*)?"
 WORD = rf"[{LETTER}][{LETTER}{MARK}]*(?:[{APOSTROPHE}\-][{LETTER}][{LETTER}{MARK}]*)*"
 TILE = rf"{URL}|{EMAIL}|{TAG}|{NUMBER}|{WORD}|[{SPACE}]+|(?s:.)"
+TOKEN = rf"{URL}|{EMAIL}|{TAG}|{NUMBER}|{WORD}|[^{SPACE}]"
 BLANK = rf"^[{SPACE}]+$"
 WORD_FULL = rf"^{WORD}$"
 CLITIC_FULL = rf"^[{LETTER}]{{1,6}}[{APOSTROPHE}]$"
@@ -52,8 +53,9 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-def normalize(text: Column, compose: bool = False) -> Column:
-    """One apostrophe, lower case; ``compose`` first brings the text to NFC (needed only where it may not be)."""
+def normalize(text: Column, compose: bool = True) -> Column:
+    """NFC, one apostrophe, lower case. Composition runs in Python batches: apply this to distinct words; ``compose``
+    false leaves it out for texts that are composed already."""
     return F.lower(F.translate(nfc(text) if compose else text, APOSTROPHES, "'" * len(APOSTROPHES)))
 
 
@@ -75,18 +77,35 @@ def pieces_of(tile: Column) -> Column:
     """A tile as one token, or as an elided head and its host; array of (text, shift, kind)."""
     head, rest = F.regexp_extract(tile, CLITIC, 1), F.regexp_extract(tile, CLITIC, 2)
     word = tile.rlike(WORD_FULL)
-    split = word & (head != "") & ~normalize(rest).isin(*CONTRACTIONS)
+    split = word & (head != "") & ~normalize(rest, False).isin(*CONTRACTIONS)
     one = lambda t, shift, kind: F.struct(t.alias("text"), shift.cast("int").alias("shift"), kind.alias("kind"))
     whole = F.array(one(tile, F.lit(0), F.when(word, F.lit("WORD")).otherwise(F.lit("UNIV"))))
     return F.when(split, F.array(one(head, F.lit(0), F.lit("CLITIC")), one(rest, F.length(head), F.lit("WORD")))).otherwise(whole)
 
 
+def _bare(text: str) -> Column:
+    """The tokens of a text before clitics are split, without white space."""
+    return F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)
+
+
 def token_kinds(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     """Tokens without offsets: nothing is shuffled. A null text has none."""
-    tile = docs.select(*keep, F.explode(tiles(F.col(text))).alias("tile")).where(~F.col("tile").rlike(BLANK))
+    tile = docs.select(*keep, F.explode(_bare(text)).alias("tile"))
     return tile.select(*keep, F.explode(pieces_of(F.col("tile"))).alias("p")).select(*keep, "p.text", "p.kind")
 
 
+def token_counts(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``keep, text, kind, n``: how often each token occurs. Rules run on distinct tokens only."""
+    tile = docs.select(*keep, F.explode(_bare(text)).alias("tile")).groupBy(*keep, "tile").agg(F.count("*").alias("n"))
+    parts = tile.select(*keep, "n", F.explode(pieces_of(F.col("tile"))).alias("p"))
+    return parts.groupBy(*keep, F.col("p.text").alias("text"), F.col("p.kind").alias("kind")).agg(F.sum("n").alias("n"))
+
+
+def word_number(text: str) -> Column:
+    """How many words a text has: nothing is exploded. 0 for a null text."""
+    return F.coalesce(F.size(F.filter(_bare(text), lambda t: t.rlike(WORD_FULL))), F.lit(0))
+
+
 def tokenize(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     """``key, pos, text, start, end, kind``: tokens with offsets; ``pos`` counts tokens from 0."""
     running = Window.partitionBy(key).orderBy("tile_no")
@@ -109,17 +128,17 @@ def is_roman(word: Column) -> Column:
     return word.rlike(ROMAN) & ~word.isin("", "I")
 
 
-def _route(label: str, confidence: float, rule: str, final: bool) -> Column:
-    return F.struct(F.lit(label).alias("label"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule"), F.lit(final).alias("final"))
+def _route(label: str, confidence: float, final: bool) -> Column:
+    return F.struct(F.lit(label).alias("label"), F.lit(confidence).alias("confidence"), F.lit(final).alias("final"))
 
 
 def route_hard(word: Column, kind: Column, norm: Column) -> Column:
     """Rules that nothing overrides, or null."""
     return (
-        F.when((kind == "UNIV") | is_roman(word), _route("univ", 1.0, "univ", True))
-        .when(norm.rlike(NKO), _route("bam", 0.999, "nko-script", True))
-        .when(norm.rlike(ARABIC), _route("univ", 1.0, "arabic-script", True))
-        .when(norm.rlike(BAM_LETTERS), _route("bam", 0.999, "bambara-letter", True))
+        F.when((kind == "UNIV") | is_roman(word), _route("univ", 1.0, True))
+        .when(norm.rlike(NKO), _route("bam", 0.999, True))
+        .when(norm.rlike(ARABIC), _route("univ", 1.0, True))
+        .when(norm.rlike(BAM_LETTERS), _route("bam", 0.999, True))
     )
 
 
@@ -127,10 +146,10 @@ def route_spelling(kind: Column, norm: Column, french_final: bool = True) -> Col
     """Spelling rules that come behind the lexicon, or null."""
     clitic = kind == "CLITIC"
     return (
-        F.when(clitic & norm.isin(*FRA_CLITICS), _route("fra", 0.95, "fra-clitic", False))
-        .when(clitic & norm.isin(*BAM_CLITICS), _route("bam", 0.95, "bam-clitic", False))
-        .when(~clitic & norm.rlike(FRA_MARKS), _route("fra", 0.97, "fra-orthography", french_final))
-        .when(~clitic & norm.rlike(BAM_TONES), _route("bam", 0.9, "bam-tone", False))
+        F.when(clitic & norm.isin(*FRA_CLITICS), _route("fra", 0.95, False))
+        .when(clitic & norm.isin(*BAM_CLITICS), _route("bam", 0.95, False))
+        .when(~clitic & norm.rlike(FRA_MARKS), _route("fra", 0.97, french_final))
+        .when(~clitic & norm.rlike(BAM_TONES), _route("bam", 0.9, False))
     )
 
 

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as tx
+from glossmill.plans.lineage import cut
+
+
+class WordClassifier(Protocol):
+    """What an identifier needs of a classifier."""
+
+    labels: tuple[str, ...]
+
+    def predict(self, words: DataFrame, word: str) -> DataFrame:
+        """``word, probs array<double>`` in the order of ``labels``, for distinct words."""
 
 
 @dataclass
@@ -22,10 +34,13 @@ class Model:
     alpha: float = 0.1
     temper: float = 0.5
 
+    def predict(self, words: DataFrame, word: str) -> DataFrame:
+        return predict(words, word, self)
+
 
 def gram_counts(pairs: DataFrame, longest: int = 5, prune: int = 1) -> DataFrame:
     """``gram, label, n`` over (word, label) pairs; grams seen fewer than ``prune`` times in all are left out."""
-    rows = pairs.select("label", F.explode(tx.grams(tx.normalize(F.col("word")), 1, longest)).alias("gram"))
+    rows = pairs.select("label", tx.normalize(F.col("word")).alias("_n")).select("label", F.explode(tx.grams(F.col("_n"), 1, longest)).alias("gram"))
     counts = rows.groupBy("gram", "label").agg(F.count("*").alias("n"))
     if prune > 1:
         counts = counts.withColumn("_all", F.sum("n").over(Window.partitionBy("gram"))).where(F.col("_all") >= prune).drop("_all")
@@ -51,19 +66,20 @@ def wide(counts: DataFrame, labels: tuple[str, ...]) -> DataFrame:
 
 def fit(pairs: DataFrame, labels: tuple[str, ...] = tx.LANGUAGES, longest: int = 5, alpha: float = 0.1, temper: float = 0.5, prune: int = 1) -> Model:
     """Pairs of other labels are ignored; without any pair there is no model."""
-    pairs = pairs.where(F.col("label").isin(*labels))
-    counts = gram_counts(pairs, longest, prune)
-    stats = label_stats(pairs, counts, labels).collect()  # a row a label
-    if not any(r["total"] for r in stats):
+    pairs = cut(pairs.where(F.col("label").isin(*labels)).select("word", "label"))
+    grams = cut(wide(gram_counts(pairs, longest, prune), labels))  # counted once: statistics and predictions read this table
+    row = grams.agg(F.count("*").alias("_v"), *(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in labels)).first()
+    if not row["_v"]:
         raise ValueError("no training pairs")
-    of = {r["label"]: r for r in stats}
-    return Model(wide(counts, labels), [(x, of[x]["total"], of[x]["log_prior"]) for x in labels], stats[0]["vocabulary"], labels, longest, alpha, temper)
+    types = {r["label"]: r["n"] for r in pairs.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a label
+    whole = sum(types.values())
+    return Model(grams, [(x, row[x], math.log((types.get(x, 0) + 1) / (whole + len(labels)))) for x in labels], row["_v"], labels, longest, alpha, temper)
 
 
 def predict(words: DataFrame, word: str, model: Model) -> DataFrame:
     """``word, probs array<double>`` in the order of the model's labels, for distinct words."""
     distinct = words.select(F.col(word).alias("word")).distinct()
-    rows = distinct.select("word", F.explode(tx.grams(tx.normalize(F.col("word")), 1, model.longest)).alias("gram"))
+    rows = distinct.select("word", tx.normalize(F.col("word")).alias("_n")).select("word", F.explode(tx.grams(F.col("_n"), 1, model.longest)).alias("gram"))
     found = rows.join(model.grams, "gram", "left")
     sums = [F.sum(F.ln((F.coalesce(F.col(x), F.lit(0)) + model.alpha) / (total + model.alpha * (model.vocabulary + 1)))).alias(f"_s{i}") for i, (x, total, _) in enumerate(model.stats)]
     scored = found.groupBy("word").agg(F.count("*").alias("_g"), *sums)
@@ -89,7 +105,8 @@ def load(spark, path: str) -> Model:
     return Model(spark.read.parquet(f"{path}/grams"), [(r["label"], r["total"], r["log_prior"]) for r in rows], rows[0]["vocabulary"], tuple(r["label"] for r in rows), rows[0]["longest"], rows[0]["alpha"], rows[0]["temper"])
 
 
-JSON = "labels array<string>, n_max int, alpha double, temp_power double, log_priors map<string,double>, totals map<string,bigint>, vocab_size bigint, counts map<string,map<string,bigint>>"
+FORMAT = "glossmill-ngram-1"
+JSON = "format string, n_min int, labels array<string>, n_max int, alpha double, temp_power double, log_priors map<string,double>, totals map<string,bigint>, vocab_size bigint, counts map<string,map<string,bigint>>"
 
 
 def prune(model: Model, least: int) -> Model:
@@ -105,7 +122,7 @@ def save_json(model: Model, path: str) -> None:
     counts = model.grams.agg(*(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(x) > 0, F.struct("gram", F.col(x).alias("n")))))).alias(x) for x in model.labels))
     by_label = lambda at: F.create_map(*(v for s in model.stats for v in (F.lit(s[0]), F.lit(s[at]))))
     row = counts.select(
-        F.array(*map(F.lit, model.labels)).alias("labels"), F.lit(1).alias("n_min"), F.lit(model.longest).alias("n_max"), F.lit(model.alpha).alias("alpha"), F.lit(model.temper).alias("temp_power"),
+        F.lit(FORMAT).alias("format"), F.array(*map(F.lit, model.labels)).alias("labels"), F.lit(1).alias("n_min"), F.lit(model.longest).alias("n_max"), F.lit(model.alpha).alias("alpha"), F.lit(model.temper).alias("temp_power"),
         by_label(2).alias("log_priors"), by_label(1).alias("totals"), F.lit(model.vocabulary).alias("vocab_size"), F.create_map(*(v for x in model.labels for v in (F.lit(x), F.col(x)))).alias("counts"),
     )
     row.coalesce(1).write.json(path)
@@ -117,6 +134,10 @@ def load_json(spark, path: str) -> Model:
     head = rows.drop("counts").first()
     if head is None or not head["labels"] or head["log_priors"] is None or head["totals"] is None:
         raise ValueError(f"{path}: not a model")
+    if head["format"] not in (None, FORMAT):  # models of before the tag have none
+        raise ValueError(f"{path}: a model of format {head['format']!r}")
+    if head["n_min"] not in (None, 1):
+        raise ValueError(f"{path}: n-grams from {head['n_min']} on; only models from 1 on can be read")
     labels = tuple(head["labels"])
     flat = rows.select(F.explode("counts").alias("label", "grams")).select("label", F.explode("grams").alias("gram", "n"))
     temper = 0.5 if head["temp_power"] is None else head["temp_power"]

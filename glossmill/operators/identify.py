@@ -31,7 +31,7 @@ def one_hot(label: Column, confidence: Column, labels: tuple[str, ...]) -> Colum
     return F.array(*(F.when(label == x, confidence).otherwise(rest) for x in labels))
 
 
-def decide(distinct: DataFrame, lexicon: DataFrame, model: bayes.Model, config: Config = Config()) -> DataFrame:
+def decide(distinct: DataFrame, lexicon: DataFrame, model: bayes.WordClassifier, config: Config = Config()) -> DataFrame:
     """``text, kind, emission, source, forced, named`` for distinct (text, kind) that are words.
 
     The classifier sees only what rules and lexicon leave open. ``named`` is the emission to use instead where
@@ -45,7 +45,7 @@ def decide(distinct: DataFrame, lexicon: DataFrame, model: bayes.Model, config:
     open_ = F.col("hard").isNull() & F.col("weights").isNull() & F.col("spelling").isNull() & (F.col("kind") == "WORD")
     if config.ambiguous_use_classifier:
         open_ = open_ | (F.col("hard").isNull() & ambiguous)
-    probs = bayes.predict(rows.where(open_), "text", model).select(F.col("word").alias("text"), "probs")
+    probs = model.predict(rows.where(open_), "text").select(F.col("word").alias("text"), "probs")
     if model.labels != labels:
         probs = probs.withColumn("probs", F.array(*(F.col("probs")[model.labels.index(x)] if x in model.labels else F.lit(0.0) for x in labels)))
     rows = rows.join(probs, "text", "left")
@@ -99,7 +99,7 @@ def resolve(tokens: DataFrame, key: str, decisions: DataFrame, config: Config =
 
 
 class Identifier:
-    def __init__(self, lexicon: DataFrame, model: bayes.Model, config: Config = Config()):
+    def __init__(self, lexicon: DataFrame, model: bayes.WordClassifier, config: Config = Config()):
         self.lexicon, self.model, self.config = lexicon, model, config
 
     def identify_tokens(self, tokens: DataFrame, key: str) -> DataFrame:

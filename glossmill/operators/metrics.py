@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
+
 
 def confusion(rows: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     return rows.groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
@@ -34,5 +38,26 @@ def suite(rows: DataFrame, name: str, target: str = "fra") -> DataFrame:
     return out.withColumn("f1", F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0))
 
 
+def suites(identify: Callable[[DataFrame], DataFrame], pairs: DataFrame, key: str, host: str, guest: str, labels: tuple[str, str] = ("bam", "fra")) -> DataFrame:
+    """``suite, words, acc, p, r, f1`` of the four suites over aligned texts: hosts, guests, hosts in informal spelling, guests' words spliced into hosts.
+
+    ``identify`` gives tokens (key, start, label) of texts (key, text). Tokens predicted univ don't count.
+    """
+    a, b = labels
+    hosts = pairs.select(key, F.col(host).alias("text"))
+    spliced = words.splice(pairs, key, host, guest)
+    found = lambda texts: identify(texts.select(key, "text")).select(key, "start", F.col("label").alias("pred"))
+    inside = (F.col("start") >= F.col("lo")) & (F.col("start") < F.col("hi"))
+    parts = [
+        suite(found(hosts).withColumn("gold", F.lit(a)), a, b), suite(found(pairs.select(key, F.col(guest).alias("text"))).withColumn("gold", F.lit(b)), b, b),
+        suite(found(words.informalize(hosts, key, "text")).withColumn("gold", F.lit(a)), f"{a}-inf", b),
+        suite(found(spliced).join(spliced.select(key, "lo", "hi"), key).withColumn("gold", F.when(inside, b).otherwise(a)), "cs-synth", b),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def macro(suites: DataFrame) -> DataFrame:
     return suites.agg(F.avg("acc").alias("macro_acc"))

@@ -54,9 +54,11 @@ def overview(docs: DataFrame, tokens: DataFrame, key: str, text: str, labels: tu
     return rows.select(key, F.when(F.col("n_words") == 0, "(no words)").otherwise(F.concat_ws("\n", "lines", shares, kind)).alias("overview"))
 
 
-def token_lines(tokens: DataFrame, key: str) -> DataFrame:
-    """``key, value``: a document's tokens as one JSON array."""
+def token_lines(tokens: DataFrame, key: str, docs: DataFrame | None = None) -> DataFrame:
+    """``key, value``: a document's tokens as one JSON array; documents of ``docs`` without tokens have an empty one."""
     item = F.struct("pos", F.struct("text", "start", "end", "label", "confidence", "source").alias("t"))
+    if docs is not None:
+        return docs.select(key).join(token_lines(tokens, key), key, "left").select(key, F.coalesce("value", F.lit("[]")).alias("value"))
     return tokens.groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"])).alias("value"))
 
 
@@ -64,6 +66,12 @@ def word_table(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.format_string("%-20s %-5s %.4f %s", "text", "label", "confidence", "source").alias("value"))
 
 
+def univ_counts(docs: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """``key, n_univ``: tokens of a document that are of no language."""
+    sums = tokens.where(F.col("label") == "univ").groupBy(key).agg(F.count("*").alias("n_univ"))
+    return docs.select(key).join(sums, key, "left").select(key, F.coalesce("n_univ", F.lit(0)).alias("n_univ"))
+
+
 def low_confidence(tokens: DataFrame, below: float = 0.7) -> DataFrame:
     return tokens.where((F.col("label") != "univ") & (F.col("confidence") < below))
 

@@ -17,7 +17,11 @@ ALIASES = {"bm": "bam", "bam": "bam", "bambara": "bam", "fr": "fra", "fra": "fra
 def lexicon_table(entries: DataFrame) -> DataFrame:
     """``form, weights map``: weights of each normalised form, summing to 1. Input: form, label, weight."""
     rows = entries.select(tx.normalize(F.trim("form")).alias("form"), "label", F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    return rows.groupBy("form").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "weight")))).alias("raw"), F.sum("weight").alias("total")).select("form", F.transform_values("raw", lambda _, w: w / F.col("total")).alias("weights"))
+    bad = lambda why: F.raise_error(F.concat(F.lit(f"lexicon: {why}: "), "form"))
+    known = F.coalesce(F.forall(F.collect_list("label"), lambda x: x.isin(*tx.LANGUAGES)), F.lit(False)) & (F.count("label") == F.count("*"))
+    check = F.when(~known, bad("unknown label")).when(F.count("label") > F.count_distinct("label"), bad("form given twice")).when(F.sum("weight") <= 0, bad("weights must be positive"))
+    rows = rows.groupBy("form").agg(F.collect_list(F.struct("label", "weight")).alias("items"), F.sum("weight").alias("total"), check.alias("ok")).where("ok is null")
+    return rows.select("form", F.map_from_entries(F.transform(F.sort_array("items"), lambda x: F.struct(x["label"], x["weight"] / F.col("total")))).alias("weights"))
 
 
 def lookup(words: DataFrame, lexicon: DataFrame, norm: str = "norm") -> DataFrame:
@@ -44,8 +48,7 @@ def canon(language: Column) -> Column:
 
 def word_counts(docs: DataFrame, text: str, label: str) -> DataFrame:
     """``word, label, n``: words of texts by the texts' label; words that a hard rule gives to another label don't count."""
-    words = tx.token_kinds(docs, text, label).where("kind = 'WORD'").withColumn("norm", tx.normalize(F.col("text")))
-    counted = words.groupBy("text", "kind", "norm", F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    counted = tx.token_counts(docs, text, label).where("kind = 'WORD'").withColumn("norm", tx.normalize(F.col("text"))).withColumnRenamed(label, "label")
     hard = tx.route_hard(F.col("text"), F.col("kind"), F.col("norm"))["label"]
     return counted.where(hard.isNull() | (hard == F.col("label"))).groupBy(F.col("norm").alias("word"), "label").agg(F.sum("n").alias("n"))
 
@@ -127,7 +130,7 @@ def splice(pairs: DataFrame, key: str, host: str, guest: str, prime: int = 7919)
 
 def annotate_origins(tokens: DataFrame, origins: DataFrame, label: str = "bam") -> DataFrame:
     """``tokens`` (text, label) with origin_lang and source_form of words of ``label``; labels stay as they are."""
-    base = origins.select(tx.normalize(F.col("form")).alias("form"), "origin_lang", "source_form")
+    base = origin_table(origins)
     rows = tokens.withColumn("_n", F.when(F.col("label") == label, tx.normalize(F.col("text")))).withColumn("_f", tx.fold(F.col("_n")))
     a = base.select(F.col("form").alias("_n"), F.struct("origin_lang", "source_form").alias("_a"))
     b = base.select(F.col("form").alias("_f"), F.struct("origin_lang", "source_form").alias("_b"))
@@ -135,6 +138,36 @@ def annotate_origins(tokens: DataFrame, origins: DataFrame, label: str = "bam")
     return found.withColumn("origin_lang", F.col("_o.origin_lang")).withColumn("source_form", F.col("_o.source_form")).drop("_n", "_f", "_a", "_b", "_o")
 
 
+def origin_table(origins: DataFrame) -> DataFrame:
+    """``form, origin_lang, source_form`` by normalised form. A form given twice or a language that isn't three small letters raises."""
+    bad = lambda why: F.raise_error(F.concat(F.lit(f"origins: {why}: "), "form"))
+    check = F.when(F.count("*") > 1, bad("form given twice")).when(~F.coalesce(F.min("origin_lang").rlike("^[a-z]{3}$"), F.lit(False)), bad("language must be an ISO 639-3 code"))
+    rows = origins.select(tx.normalize(F.col("form")).alias("form"), "origin_lang", "source_form")
+    return rows.groupBy("form").agg(F.first("origin_lang").alias("origin_lang"), F.first("source_form").alias("source_form"), check.alias("ok")).where("ok is null").drop("ok")
+
+
+def misplaced_origins(origins: DataFrame, lexicon: DataFrame, label: str = "bam") -> DataFrame:
+    """``form``: forms of the origin table that the lexicon doesn't list with ``label`` alone; a consistent pair of tables has none."""
+    own = lexicon.where((F.size("weights") == 1) & F.map_contains_key("weights", label)).select("form")
+    return origin_table(origins).select("form").join(own, "form", "left_anti")
+
+
+def span_statistics(lines: DataFrame, key: str, tokens: DataFrame, inner: str = "fra", only_switched: bool = False) -> DataFrame:
+    """``stat, n`` of a conversion by ``marked_spans``: lines read, dropped, left out as they don't switch, written, switched; tokens a label."""
+    per = tokens.groupBy(key).agg(F.max((F.col("label") == inner).cast("int")).alias("switched"), *(F.count_if(F.col("label") == x).alias(x) for x in tx.LABELS))
+    rows = lines.select(key).join(per, key, "left")
+    kept = F.col("switched").isNotNull() & (F.lit(not only_switched) | (F.col("switched") == 1))
+    sums = [F.count("*").alias("rows"), F.count_if(F.col("switched").isNull()).alias("dropped"), F.count_if(F.col("switched").isNotNull() & ~kept).alias("skipped"), F.count_if(kept).alias("sentences"), F.count_if(kept & (F.col("switched") == 1)).alias("switched")]
+    sums += [F.coalesce(F.sum(F.when(kept, F.col(x))), F.lit(0)).alias(f"label_{x}") for x in tx.LABELS]
+    row = rows.agg(*sums)
+    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("stat"), F.col(c).cast("long").alias("n")) for c in row.columns))).alias("s")).select("s.*")
+
+
+def type_counts(pairs: DataFrame) -> DataFrame:
+    """``label, types``: distinct words of each label."""
+    return pairs.select("word", "label").distinct().groupBy("label").agg(F.count("*").alias("types"))
+
+
 def by_origin(origins: DataFrame, language: str) -> DataFrame:
     return origins.where(F.col("origin_lang") == language)
 

@@ -58,15 +58,22 @@ LEX_SQL = sq.values(LEXICON, ("form", "label", "weight"))
 
 @query(f"SELECT lang, kind, count(*) AS n_tokens, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM {sq.tokens('documents', 'doc_id', 'text', 'lang')} GROUP BY ALL")
 def tokenize_counts(spark, sf_dir):
-    return tx.token_kinds(_read(spark, sf_dir, "documents"), "text", "lang").groupBy("lang", "kind").agg(F.count("*").alias("n_tokens"), F.sum(F.length("text")).alias("n_chars"))
+    counts = tx.token_counts(_read(spark, sf_dir, "documents"), "text", "lang")
+    return counts.groupBy("lang", "kind").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.length("text")).alias("n_chars"))
 
 
 _OFFSETS = 'SELECT {0} AS id, pos, text, "start", "end", kind FROM {1}'
 
 
-@query(_OFFSETS.format("item_id", sq.tokens("benchmark", "item_id", "text")))
+@query(_OFFSETS.format("doc_id", sq.tokens("documents", "doc_id", "text")))
 def token_offsets(spark, sf_dir):
-    return tx.tokenize(_read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "id")
+    return tx.tokenize(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "id")
+
+
+@query(f"SELECT id, pos, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"start\", CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) AS BIGINT) AS \"end\", {sq.kind('text')} AS kind FROM (SELECT id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS text FROM (SELECT conv_id * 1000 + turn AS id, string_split(text, ' ') AS a FROM conversations))")
+def pretokenized_offsets(spark, sf_dir):
+    given = _turns(spark, sf_dir).select("id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    return tx.pretokenized(given, "id", "pos", "word")
 
 
 @query(_OFFSETS.format("id", sq.tokens(TEXTS_SQL, "id", "text")))
@@ -83,7 +90,7 @@ def kind_of_word(spark, sf_dir):
 
 @query(f"SELECT text, {sq.normalize('nfc_normalize(text)')} AS norm, {sq.fold(sq.normalize('nfc_normalize(text)'))} AS folded FROM {sq.values(COMBINED, ('id', 'text'))} UNION SELECT DISTINCT text, {sq.normalize('nfc_normalize(text)')}, {sq.fold(sq.normalize('nfc_normalize(text)'))} FROM {sq.tokens('documents', 'doc_id', 'text')} WHERE kind = 'WORD'")
 def normalize_words(spark, sf_dir):
-    seen = tx.token_kinds(_read(spark, sf_dir, "documents"), "text").where("kind = 'WORD'").select("text").distinct()
+    seen = tx.token_counts(_read(spark, sf_dir, "documents"), "text").where("kind = 'WORD'").select("text")
     both = _rows(spark, COMBINED, "id long, text string").select("text").union(seen).distinct()
     norm = both.select("text", tx.normalize(F.col("text"), True).alias("norm"))
     return norm.select("text", "norm", tx.fold(F.col("norm")).alias("folded"))
@@ -93,7 +100,7 @@ _WORDS_SQL = f"(SELECT DISTINCT text, kind FROM {sq.tokens('documents', 'doc_id'
 
 
 def _distinct_words(spark, sf_dir):
-    seen = tx.token_kinds(_read(spark, sf_dir, "documents"), "text")
+    seen = tx.token_counts(_read(spark, sf_dir, "documents"), "text").select("text", "kind")
     return seen.union(tx.token_kinds(_rows(spark, TEXTS, "id long, text string"), "text")).distinct()
 
 
@@ -124,7 +131,7 @@ def _lexicon(spark):
 
 @query(f"SELECT w.norm AS word, w.n, l.label, l.weight / sum(l.weight) OVER (PARTITION BY w.norm) AS weight FROM (SELECT {sq.normalize('text')} AS norm, count(*) AS n FROM {sq.tokens('documents', 'doc_id', 'text')} WHERE kind = 'WORD' GROUP BY 1) w JOIN {LEX_SQL} l ON l.form = w.norm")
 def lexicon_join(spark, sf_dir):
-    seen = tx.token_kinds(_read(spark, sf_dir, "documents"), "text").where("kind = 'WORD'").groupBy(tx.normalize(F.col("text")).alias("norm")).agg(F.count("*").alias("n"))
+    seen = tx.token_counts(_read(spark, sf_dir, "documents"), "text").where("kind = 'WORD'").groupBy(tx.normalize(F.col("text")).alias("norm")).agg(F.sum("n").alias("n"))
     return words.lookup(seen, _lexicon(spark)).where("weights is not null").select(F.col("norm").alias("word"), "n", F.explode("weights").alias("label", "weight"))
 
 
@@ -146,7 +153,7 @@ def wordlist_filter(spark, sf_dir):
     return words.pairs_from_list(_purity(spark, sf_dir), DATA_LANGS, 3, 0.9)
 
 
-_PAIR_SQL = f"(SELECT DISTINCT word, CASE label WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' ELSE 'bam' END AS label FROM {_COUNTS_SQL} WHERE n >= 2)"
+_PAIR_SQL = f"(SELECT DISTINCT word, CASE label WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' ELSE 'bam' END AS label FROM {_COUNTS_SQL})"
 
 
 def _mapped(column):
@@ -154,7 +161,7 @@ def _mapped(column):
 
 
 def _pairs(spark, sf_dir):
-    counts = words.word_counts(_read(spark, sf_dir, "documents"), "text", "lang").where("n >= 2")
+    counts = words.word_counts(_read(spark, sf_dir, "documents"), "text", "lang")
     return counts.select("word", _mapped(F.col("label")).alias("label")).distinct()
 
 
@@ -171,6 +178,11 @@ def augment_variants(spark, sf_dir):
 _GRAM_SQL = f"(SELECT gram, label, count(*) AS n FROM (SELECT label, unnest({sq.grams('word')}) AS gram FROM {_PAIR_SQL}) WHERE gram NOT IN ('<', '>') GROUP BY ALL)"
 
 
+@query(f"SELECT label, count(*) AS types FROM {_PAIR_SQL} GROUP BY label")
+def type_counts(spark, sf_dir):
+    return words.type_counts(_pairs(spark, sf_dir))
+
+
 @query(f"SELECT * FROM {_GRAM_SQL}")
 def ngram_counts(spark, sf_dir):
     return bayes.gram_counts(_pairs(spark, sf_dir))
@@ -185,16 +197,15 @@ def nb_stats(spark, sf_dir):
     return bayes.label_stats(pairs, bayes.gram_counts(pairs), tx.LANGUAGES).withColumn("log_prior", F.round("log_prior", 6))
 
 
-_TARGETS = f"(SELECT DISTINCT text AS word FROM {sq.tokens('benchmark', 'item_id', 'text')} WHERE kind = 'WORD')"
+_TARGETS = f"(SELECT DISTINCT text AS word FROM {sq.tokens('documents', 'doc_id', 'text')} WHERE kind = 'WORD')"
 
 
 @query(f"""WITH g AS (SELECT * FROM {_GRAM_SQL}), s AS (SELECT * FROM {_STATS_SQL}), w AS (SELECT word, unnest({sq.grams(sq.normalize('word'))}) AS gram FROM {_TARGETS}),
 k AS (SELECT word, s.label, any_value(s.log_prior) + sum(ln((coalesce(n, 0) + 0.1) / (s.total + 0.1 * (s.vocabulary + 1)))) / sqrt(count(*)) AS score FROM (SELECT * FROM w WHERE gram NOT IN ('<', '>')) x CROSS JOIN s LEFT JOIN g ON g.gram = x.gram AND g.label = s.label GROUP BY word, s.label)
 SELECT word, label, round(exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY word), 5) AS p FROM (SELECT *, max(score) OVER (PARTITION BY word) AS m FROM k)""")
 def nb_predict(spark, sf_dir):
-    model = bayes.fit(_pairs(spark, sf_dir))
-    targets = tx.token_kinds(_read(spark, sf_dir, "benchmark"), "text").where("kind = 'WORD'")
-    found = bayes.predict(targets, "text", model)
+    targets = tx.token_counts(_read(spark, sf_dir, "documents"), "text").where("kind = 'WORD'")
+    found = bayes.predict(targets, "text", _model(spark, sf_dir))
     return found.select("word", F.posexplode("probs").alias("i", "p")).select("word", F.element_at(F.array(*(F.lit(x) for x in tx.LANGUAGES)), F.col("i") + 1).alias("label"), F.round("p", 5).alias("p"))
 
 
@@ -217,7 +228,13 @@ def _labelled(spark, sf_dir):
     return rows.withColumn("label", F.when(F.col("kind") == "UNIV", "univ").when(known, "eng").when(F.length("text") % 5 == 0, "fra").otherwise("bam"))
 
 
-_RUNS = f"(SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY pos) AS run FROM (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY id ORDER BY pos) = label THEN 0 ELSE 1 END AS fresh FROM {_LABELLED} WHERE label <> 'univ'))"
+
+
+def _runs_sql(labelled: str) -> str:
+    return f"(SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY pos) AS run FROM (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY id ORDER BY pos) = label THEN 0 ELSE 1 END AS fresh FROM {labelled} WHERE label <> 'univ'))"
+
+
+_RUNS = _runs_sql(_LABELLED)
 
 
 @query(f'SELECT id, CAST(run AS BIGINT) AS run, label, min("start") AS "start", max("end") AS "end", count(*) AS n_words FROM {_RUNS} GROUP BY id, run, label')
@@ -225,7 +242,11 @@ def segments(spark, sf_dir):
     return views.segments(_labelled(spark, sf_dir), "id")
 
 
-_SUMMARY = f"(SELECT d.id, coalesce(n_words, 0) AS n_words, coalesce(n_switches, 0) AS n_switches, dominant, coalesce(n_langs > 1, false) AS code_switched, bam, fra, eng FROM {_TURNS} d LEFT JOIN (SELECT id, sum(n) AS n_words, arg_max(label, [n, CASE label WHEN 'bam' THEN 9 WHEN 'fra' THEN 2 ELSE 1 END]) AS dominant, count(*) AS n_langs, max(n) FILTER (label = 'bam') AS bam, max(n) FILTER (label = 'fra') AS fra, max(n) FILTER (label = 'eng') AS eng FROM (SELECT id, label, count(*) AS n FROM {_LABELLED} WHERE label <> 'univ' GROUP BY ALL) GROUP BY id) USING (id) LEFT JOIN (SELECT id, max(run) - 1 AS n_switches FROM {_RUNS} GROUP BY id) USING (id))"
+def _summary_sql(labelled: str) -> str:
+    return f"(SELECT d.id, coalesce(n_words, 0) AS n_words, coalesce(n_switches, 0) AS n_switches, dominant, coalesce(n_langs > 1, false) AS code_switched, bam, fra, eng FROM {_TURNS} d LEFT JOIN (SELECT id, sum(n) AS n_words, arg_max(label, [n, CASE label WHEN 'bam' THEN 9 WHEN 'fra' THEN 2 ELSE 1 END]) AS dominant, count(*) AS n_langs, max(n) FILTER (label = 'bam') AS bam, max(n) FILTER (label = 'fra') AS fra, max(n) FILTER (label = 'eng') AS eng FROM (SELECT id, label, count(*) AS n FROM {labelled} WHERE label <> 'univ' GROUP BY ALL) GROUP BY id) USING (id) LEFT JOIN (SELECT id, max(run) - 1 AS n_switches FROM {_runs_sql(labelled)} GROUP BY id) USING (id))"
+
+
+_SUMMARY = _summary_sql(_LABELLED)
 
 
 @query(f"SELECT id, CAST(n_words AS BIGINT) AS n_words, CAST(n_switches AS BIGINT) AS n_switches, dominant, code_switched, round(bam / n_words, 6) AS bam, round(fra / n_words, 6) AS fra, round(eng / n_words, 6) AS eng FROM {_SUMMARY}")
@@ -333,7 +354,8 @@ def top_words(spark, sf_dir):
 
 @query(f"SELECT lang, count(*) AS n_docs, CAST(sum(w) AS BIGINT) AS n_words, max(w) AS longest FROM (SELECT doc_id, lang, count(*) AS w FROM {sq.tokens('documents', 'doc_id', 'text', 'lang')} WHERE kind = 'WORD' GROUP BY ALL) GROUP BY lang")
 def doc_language_summary(spark, sf_dir):
-    per_doc = tx.token_kinds(_read(spark, sf_dir, "documents"), "text", "doc_id", "lang").where("kind = 'WORD'").groupBy("doc_id", "lang").agg(F.count("*").alias("w"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", tx.word_number("text").alias("w")).where("w > 0")
+    per_doc = docs.groupBy("doc_id", "lang").agg(F.sum("w").alias("w"))
     return per_doc.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("w").alias("n_words"), F.max("w").alias("longest"))
 
 
@@ -347,42 +369,136 @@ def decode_posteriors(spark, sf_dir):
     return post.select("id", "z.x.pos", *(F.round(F.col("z.p")[i], 4).alias(x) for i, x in enumerate(tx.LANGUAGES)))
 
 
+_MODELS: dict[tuple[str, str], bayes.Model] = {}
+
+
+def _model(spark, sf_dir):
+    """The classifier of the tables' words, fitted once a session; its tables lie in the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = bayes.fit(_pairs(spark, sf_dir))
+    return _MODELS[key]
+
+
 def _identifier(spark, sf_dir):
-    return identify.Identifier(_lexicon(spark), bayes.fit(_pairs(spark, sf_dir)))
+    return identify.Identifier(_lexicon(spark), _model(spark, sf_dir))
 
 
-@query()
+def _identified_sql(texts: str) -> str:
+    return f"({sq.identify(texts, LEX_SQL, _GRAM_SQL, _STATS_SQL)})"
+
+
+_FOUND = _identified_sql(_TURNS)
+
+
+@query(f"SELECT * FROM {_FOUND}")
 def identify_tokens(spark, sf_dir):
     return _identifier(spark, sf_dir).identify(_turns(spark, sf_dir), "id", "text")
 
 
 @query()
+def identify_documents(spark, sf_dir):
+    """Tokens of whole documents by label and source; SQL would walk chains of thousands of words."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return _identifier(spark, sf_dir).identify(docs, "doc_id", "text").groupBy("label", "source").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH found AS MATERIALIZED {_FOUND} SELECT id, CAST(n_words AS BIGINT) AS n_words, CAST(n_switches AS BIGINT) AS n_switches, dominant, code_switched, round(bam / n_words, 6) AS bam, round(fra / n_words, 6) AS fra, round(eng / n_words, 6) AS eng FROM {_summary_sql('found')}")
 def identify_summary(spark, sf_dir):
     docs = _turns(spark, sf_dir)
-    return views.summarize(docs, _identifier(spark, sf_dir).identify(docs, "id", "text"), "id").withColumn("proportions", F.to_json("proportions"))
+    rows = views.summarize(docs, _identifier(spark, sf_dir).identify(docs, "id", "text"), "id")
+    return rows.select("id", "n_words", "n_switches", "dominant", "code_switched", *(F.round(F.element_at("proportions", F.lit(x)), 6).alias(x) for x in tx.LANGUAGES))
 
 
-@query()
+_SHARES = " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(tx.LANGUAGES))
+
+
+@query(f"""WITH found AS MATERIALIZED {_FOUND}, seg AS (SELECT id, run, label, min("start") AS a, max("end") AS z FROM {_runs_sql('found')} GROUP BY id, run, label),
+lines AS (SELECT id, string_agg('[' || label || '] ' || substr(text, a + 1, z - a), chr(10) ORDER BY run) AS lines FROM seg JOIN {_TURNS} d USING (id) GROUP BY id),
+share AS (SELECT id, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY id) AS total FROM found WHERE label <> 'univ' GROUP BY id, label),
+shares AS (SELECT id, string_agg(label || ' ' || CAST(round(100.0::DOUBLE * (n / total)) AS INT) || '%', ', ' ORDER BY n DESC, CASE label {_SHARES} END) AS shares FROM share GROUP BY id)
+SELECT id, CASE WHEN n_words = 0 THEN '(no words)' ELSE lines || chr(10) || shares || chr(10) || CASE WHEN code_switched THEN 'code-switched, ' || CAST(n_switches AS BIGINT) || ' switch(es)' ELSE 'single language' END END AS overview FROM {_summary_sql('found')} LEFT JOIN lines USING (id) LEFT JOIN shares USING (id)""")
 def overview(spark, sf_dir):
     docs = _turns(spark, sf_dir)
     return views.overview(docs, _identifier(spark, sf_dir).identify(docs, "id", "text"), "id", "text")
 
 
-@query()
+@query(f"SELECT * FROM {_FOUND} WHERE label <> 'univ' AND confidence < 0.7")
 def low_confidence(spark, sf_dir):
     return views.low_confidence(_identifier(spark, sf_dir).identify(_turns(spark, sf_dir), "id", "text"))
 
 
-@query()
+_TOKEN_JSON = """'{"text":' || CAST(to_json(text) AS VARCHAR) || ',"start":' || "start" || ',"end":' || "end" || ',"label":"' || label || '","confidence":' || CAST(confidence AS VARCHAR) || ',"source":"' || source || '"}'"""
+
+
+@query(f"SELECT id, coalesce(value, '[]') AS value FROM {_TURNS} LEFT JOIN (SELECT id, '[' || string_agg({_TOKEN_JSON}, ',' ORDER BY pos) || ']' AS value FROM {_FOUND} GROUP BY id) USING (id)")
 def token_json_lines(spark, sf_dir):
-    return views.token_lines(_identifier(spark, sf_dir).identify(_turns(spark, sf_dir), "id", "text"), "id")
+    docs = _turns(spark, sf_dir)
+    return views.token_lines(_identifier(spark, sf_dir).identify(docs, "id", "text"), "id", docs)
 
 
-@query()
+@query(f"SELECT id, count(label) AS n_univ FROM {_TURNS} LEFT JOIN (SELECT id, label FROM {_FOUND} WHERE label = 'univ') USING (id) GROUP BY id")
+def univ_counts(spark, sf_dir):
+    docs = _turns(spark, sf_dir)
+    return views.univ_counts(docs, _identifier(spark, sf_dir).identify(docs, "id", "text"), "id")
+
+
+@query(sq.informal(_TURNS))
 def informal_spelling(spark, sf_dir):
     return words.informalize(_turns(spark, sf_dir), "id", "text")
 
 
+_ALIGNED = "(SELECT u.conv_id * 1000 + u.turn AS id, trim(u.text) AS host, trim(v.text) AS guest FROM conversations u JOIN conversations v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1 WHERE u.role = 'user' AND v.role = 'assistant' AND trim(u.text) <> '' AND trim(v.text) <> '')"
+
+
+def _suite_sql(name: str, found: str, gold: str) -> str:
+    rows = f"(SELECT label AS pred, {gold} AS gold FROM {found} WHERE label <> 'univ')"
+    hit, said, meant = "count(*) FILTER (gold = 'fra' AND pred = 'fra')", "count(*) FILTER (pred = 'fra')", "count(*) FILTER (gold = 'fra')"
+    p, r = f"(CASE WHEN {said} > 0 THEN {hit} / {said} ELSE 0.0 END)::DOUBLE", f"(CASE WHEN {meant} > 0 THEN {hit} / {meant} ELSE 0.0 END)::DOUBLE"
+    return f"SELECT suite, words, round(acc, 6) AS acc, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM (SELECT '{name}' AS suite, count(*) AS words, count(*) FILTER (pred = gold) / count(*) AS acc, {p} AS p, {r} AS r FROM {rows})"
+
+
+_SUITES = " UNION ALL ".join([
+    _suite_sql("bam", _identified_sql(f"(SELECT id, host AS text FROM {_ALIGNED})"), "'bam'"), _suite_sql("fra", _identified_sql(f"(SELECT id, guest AS text FROM {_ALIGNED})"), "'fra'"),
+    _suite_sql("bam-inf", _identified_sql(f"({sq.informal(f'(SELECT id, host AS text FROM {_ALIGNED})')})"), "'bam'"),
+    _suite_sql("cs-synth", f"(SELECT label, \"start\", lo, hi FROM {_identified_sql(f'(SELECT id, text FROM ({sq.splice(_ALIGNED)}))')} t JOIN ({sq.splice(_ALIGNED)}) s USING (id))", "CASE WHEN \"start\" >= lo AND \"start\" < hi THEN 'fra' ELSE 'bam' END"),
+])
+
+
+def _suites(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations")
+    right = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
+    pairs = words.aligned(c.where("role = 'user'").select("conv_id", "turn", "text"), right, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("a").alias("host"), F.col("b").alias("guest"))
+    identifier = _identifier(spark, sf_dir)
+    return metrics.suites(lambda texts: identifier.identify(texts, "id", "text"), pairs, "id", "host", "guest")
+
+
+@query(_SUITES)
+def benchmark_suites(spark, sf_dir):
+    return _suites(spark, sf_dir).select("suite", "words", *(F.round(c, 6).alias(c) for c in ("acc", "p", "r", "f1")))
+
+
+@query(f"SELECT round(avg(acc), 5) AS macro_acc FROM ({_SUITES})")
+def benchmark_macro(spark, sf_dir):
+    return metrics.macro(_suites(spark, sf_dir)).select(F.round("macro_acc", 5).alias("macro_acc"))
+
+
+_SPAN_ROWS = sq.values([(i, t) for i, t in SPANS], ("id", "text"))
+
+
+@query(f"WITH kept AS ({_SQL['marked_spans']}), stats AS (SELECT (SELECT count(*) FROM {_SPAN_ROWS}) AS r, count(DISTINCT id) AS s, count(DISTINCT CASE WHEN label = 'fra' THEN id END) AS w FROM kept) SELECT 'rows' AS stat, r AS n FROM stats UNION ALL SELECT 'dropped', r - s FROM stats UNION ALL SELECT 'skipped', 0 FROM stats UNION ALL SELECT 'sentences', s FROM stats UNION ALL SELECT 'switched', w FROM stats UNION ALL SELECT 'label_' || x, (SELECT count(*) FROM kept WHERE label = x) FROM (SELECT unnest({list(tx.LABELS)}) AS x)")
+def span_statistics(spark, sf_dir):
+    lines = _rows(spark, SPANS, "id long, text string")
+    return words.span_statistics(lines, "id", words.marked_spans(lines, "id", "text"))
+
+
+@query(f"SELECT form FROM {_ORIGIN_SQL} WHERE form NOT IN (SELECT form FROM {LEX_SQL} GROUP BY form HAVING count(*) = 1 AND min(label) = 'bam')")
+def misplaced_origins(spark, sf_dir):
+    origins = _rows(spark, ORIGINS, "form string, origin_lang string, source_form string, gloss string, notes string")
+    return words.misplaced_origins(origins, _lexicon(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -29,14 +29,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None =
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, config: str | None = None, split: str | None = None, limit: int | None = None) -> DataFrame:
-    """Parquet laid out as config=/split=; split ``all`` or none reads all, ``limit`` is over all files together."""
+    """Parquet laid out as config=/split=; split ``all`` or none reads all, ``limit`` takes the first rows by file and place, over all files together."""
     rows = spark.read.parquet(path)
     if config is not None:
         rows = rows.where(F.col("config") == config)
     if split not in (None, "all"):
         rows = rows.where(F.col("split") == split)
-    rows = rows.select(*columns) if columns else rows
-    return rows if limit is None else rows.limit(limit)
+    columns = columns or rows.columns
+    if limit is not None:
+        place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r")]
+        return rows.select(*columns, *place).orderBy("_f", "_r").limit(limit).select(*columns)
+    return rows.select(*columns)
 
 
 def read_sentences(spark: SparkSession, path: str, label: str, limit: int | None = None) -> DataFrame:
@@ -70,10 +73,11 @@ def parse_conll(lines: DataFrame, labels: tuple[str, ...]) -> DataFrame:
 
 
 def write_conll(rows: DataFrame, key: str, path: str, header: str) -> None:
-    """Sentences of rows (key, pos, token, label), a blank line behind each; Spark's _SUCCESS marks completion."""
+    """Sentences of rows (key, pos, token, label) in order of key, a blank line behind each, below the header; Spark's _SUCCESS marks completion."""
     body = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token", "label"))), lambda x: F.concat(x["token"], F.lit("\t"), x["label"])), "\n").alias("value"))
-    top = rows.sparkSession.createDataFrame([(f"# {header}",)], "value string")
-    top.unionByName(body.select(F.concat("value", F.lit("\n")).alias("value"))).write.text(path)
+    top = rows.sparkSession.createDataFrame([(f"# {header}",)], "value string").select("value", F.lit(0).alias("o"), F.lit(None).cast(rows.schema[key].dataType).alias("k"))
+    lines = top.union(body.select(F.concat("value", F.lit("\n")), F.lit(1), key))
+    lines.orderBy("o", "k").select("value").write.text(path)
 
 
 def parse_lexicon(lines: DataFrame, line: str) -> DataFrame:
@@ -90,7 +94,7 @@ def parse_lexicon(lines: DataFrame, line: str) -> DataFrame:
 def read_origins(spark: SparkSession, path: str) -> DataFrame:
     """The origin table, a TSV with this header; # lines are comments."""
     columns = ["form", "origin_lang", "source_form", "gloss", "notes"]
-    rows = spark.read.csv(path, sep="\t", header=True, comment="#")
+    rows = spark.read.csv(path, sep="\t", header=True, comment="#", quote="")
     if rows.columns != columns:
         raise ValueError(f"{path}: columns {rows.columns}, not {columns}")
     return rows.select(*(F.coalesce(F.trim(c), F.lit("")).alias(c) for c in columns))
@@ -114,6 +118,38 @@ def language_columns(df: DataFrame, wanted: dict[str, str], pair: tuple[str, str
     raise ValueError(f"neither {sorted(wanted)} nor {pair} among the columns {df.columns}")
 
 
+def get_json(url: str, tries: int = 6, wait: float = 2.0):
+    """A JSON answer; too many requests, server errors and failed connections are tried again, each after twice the wait."""
+    for attempt in range(tries):
+        last = attempt == tries - 1
+        try:
+            with urllib.request.urlopen(url, timeout=60) as answer:
+                return json.load(answer)
+        except urllib.error.HTTPError as e:
+            if e.code in (401, 403):
+                raise PermissionError(f"{url}: {e.code}") from e
+            if last or (e.code != 429 and e.code < 500):
+                raise
+            pause = float(e.headers.get("Retry-After") or wait)
+        except urllib.error.URLError:
+            if last:
+                raise
+            pause = wait
+        time.sleep(min(240.0, pause))
+        wait *= 2
+    raise ValueError("no try allowed")
+
+
+def read_manifest(url: str, **retry) -> list[tuple[str, str, str]]:
+    """(config, split, file) of a manifest ``{config: {split: [files]}}``, in its order."""
+    return [(c, s, f) for c, splits in get_json(url, **retry).items() for s, files in splits.items() for f in files]
+
+
+def list_splits(url: str, **retry) -> list[tuple[str, str]]:
+    """(config, split) pairs of a listing ``{splits: [{config, split}]}``."""
+    return [(s["config"], s["split"]) for s in get_json(url, **retry).get("splits", [])]
+
+
 @dataclass
 class Page(InputPartition):
     offset: int
@@ -127,23 +163,11 @@ class PagedRestReader(DataSourceReader):
         self.fields = schema.fieldNames()
         self.url, self.page = options["url"], int(options.get("page", 100))
         self.limit = int(options["limit"]) if "limit" in options else None
-        self.pause, self.tries = float(options.get("pause", 1)), int(options.get("tries", 6))
+        self.pause, self.tries, self.wait = float(options.get("pause", 1)), int(options.get("tries", 6)), float(options.get("wait", 2))
 
     def _get(self, offset: int, length: int) -> dict:
         join = "&" if "?" in self.url else "?"
-        wait = 2.0
-        for attempt in range(self.tries):
-            try:
-                with urllib.request.urlopen(f"{self.url}{join}offset={offset}&length={length}", timeout=60) as answer:
-                    return json.load(answer)
-            except urllib.error.HTTPError as e:
-                if e.code in (401, 403):
-                    raise PermissionError(f"{self.url}: {e.code}") from e
-                if e.code != 429 and e.code < 500 or attempt == self.tries - 1:
-                    raise
-                time.sleep(min(240.0, float(e.headers.get("Retry-After") or wait)))
-                wait *= 2
-        return {}
+        return get_json(f"{self.url}{join}offset={offset}&length={length}", self.tries, self.wait)
 
     def partitions(self) -> list[Page]:
         total = int(self._get(0, 1).get("num_rows_total", 0))

@@ -1,6 +1,10 @@
 """Rules, classifier, decoder, views, readers and streaming on small inputs."""
 
+import http.server
+import json
 import math
+import threading
+import urllib.parse
 
 import numpy as np
 import pytest
@@ -130,3 +134,82 @@ def test_stream_equals_batch(spark, identifier, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     lines.identify_stream(stream, "id", "text", identifier, lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted(seen) == sorted(identifier.identify(docs, "id", "text").collect())
+
+
+def test_checked_tables(spark):
+    lex = lambda rows: words.lexicon_table(spark.createDataFrame(rows, "form string, label string, weight double"))
+    assert lex([("a", "bam", 1.0), ("a", "fra", 3.0)]).first().weights == {"bam": 0.25, "fra": 0.75}
+    for bad in ([("a", "zzz", 1.0)], [("a", None, 1.0)], [("a", "bam", 1.0), ("A", "bam", 2.0)], [("a", "bam", 0.0)]):
+        with pytest.raises(Exception, match="lexicon"):
+            lex(bad).collect()
+    origins = lambda rows: words.origin_table(spark.createDataFrame(rows, "form string, origin_lang string, source_form string"))
+    assert origins([("a", "fra", "x")]).count() == 1
+    for bad in ([("a", "fra", "x"), ("A", "eng", "y")], [("a", "fr", "x")], [("a", None, "x")]):
+        with pytest.raises(Exception, match="origins"):
+            origins(bad).collect()
+
+
+def test_composition_does_not_matter(spark, identifier):
+    docs = spark.createDataFrame([(1, "\u00e9t\u00e9 taara"), (2, "e\u0301te\u0301 taara")], "id long, text string")
+    got = identifier.identify(docs, "id", "text").orderBy("id", "pos").collect()
+    assert [(r.label, r.confidence, r.source) for r in got[:2]] == [(r.label, r.confidence, r.source) for r in got[2:]]
+
+
+def test_ambiguous_words_may_ask_the_classifier(spark):
+    lex = words.lexicon_table(spark.createDataFrame([("dugu", "bam", 1.0), ("dugu", "eng", 1.0)], "form string, label string, weight double"))
+    model = bayes.fit(spark.createDataFrame(PAIRS, "word string, label string"))
+    docs = spark.createDataFrame([(1, "dugu")], "id long, text string")
+    plain = identify.Identifier(lex, model).identify(docs, "id", "text").first()
+    asked = identify.Identifier(lex, model, identify.Config(ambiguous_use_classifier=True)).identify(docs, "id", "text").first()
+    p = model.predict(spark.createDataFrame([("dugu",)], "word string"), "word").first().probs
+    assert plain.confidence == 0.5 - 0.0 or abs(plain.confidence - 0.5) < 0.01
+    w = [0.5 * max(p[0], 1e-3), 0.0, 0.5 * max(p[2], 1e-3)]
+    e = [max(x / sum(w), 1e-4) for x in w]
+    assert asked.label == "bam" and abs(asked.confidence - e[0] / sum(e)) < 1e-3
+
+
+def test_paged_rest(spark):
+    """Pages, a busy answer, a refusal, a manifest and a list of splits, from a server of the test's own."""
+    rows = [{"row": {"a": i, "b": None if i % 2 else "x"}} for i in range(25)]
+    busy = [True]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urllib.parse.urlparse(self.path)
+            q = urllib.parse.parse_qs(url.query)
+            body, code = {}, 200
+            if url.path == "/rows":
+                if busy.pop() if busy else False:
+                    code = 429
+                at, n = int(q["offset"][0]), int(q["length"][0])
+                body = {"rows": rows[at : at + n], "num_rows_total": len(rows)}
+            elif url.path == "/manifest":
+                body = {"c": {"train": ["f1", "f2"], "test": ["f3"]}}
+            elif url.path == "/splits":
+                body = {"splits": [{"config": "c", "split": "test"}]}
+            else:
+                code = 403
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(readers.PagedRest)
+    got = spark.read.format("paged_rest").schema("a string, b string").options(url=f"{base}/rows", columns="a string, b string", page="10", pause="0", wait="0.01").load().collect()
+    assert sorted((int(r.a), r.b) for r in got) == [(i, None if i % 2 else "x") for i in range(25)]
+    assert readers.read_manifest(f"{base}/manifest") == [("c", "train", "f1"), ("c", "train", "f2"), ("c", "test", "f3")]
+    assert readers.list_splits(f"{base}/splits") == [("c", "test")]
+    with pytest.raises(PermissionError):
+        readers.get_json(f"{base}/closed")
+    server.shutdown()
+
+
+def test_parquet_limit_takes_the_first_rows(spark, tmp_path):
+    spark.range(100).selectExpr("id", "'c' config", "if(id < 50, 'train', 'test') split").coalesce(1).write.partitionBy("config", "split").parquet(str(tmp_path / "p"))
+    got = readers.read_parquet(spark, str(tmp_path / "p"), ["id"], "c", "test", 3)
+    assert [r.id for r in got.collect()] == [50, 51, 52] and readers.read_parquet(spark, str(tmp_path / "p")).count() == 100
