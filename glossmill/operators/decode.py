@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 FLOOR = 1e-4
@@ -33,10 +34,26 @@ def posteriors(emissions: np.ndarray, stay: float = 0.8) -> np.ndarray:
 
 
 def decoder(stay: float = 0.8):
-    """A UDF from a text's emissions to its posteriors, both array<array<double>>; Arrow moves whole batches."""
-
-    @F.pandas_udf("array<array<double>>")
-    def run(chains: pd.Series) -> pd.Series:
-        return chains.map(lambda c: posteriors(np.stack([np.asarray(x, float) for x in c]), stay).tolist() if c is not None and len(c) else [])
+    """A UDF from a text's emissions to its posteriors, both array<array<double>>; Arrow moves whole batches.
+
+    A token with an empty emission is passed over: it stays empty, and its neighbours are neighbours.
+    """
+
+    @F.arrow_udf("array<array<double>>")
+    def run(chains: pa.Array) -> pa.Array:
+        tokens = chains.flatten()
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(chains), 0).to_numpy(zero_copy_only=False))
+        full = np.concatenate([[0], np.cumsum(sizes > 0)])
+        values = tokens.flatten().to_numpy(zero_copy_only=False)
+        if len(values):
+            values = values.reshape(full[-1], -1)
+        out, begin = [np.zeros(0)], 0
+        for end in ends.tolist():
+            if full[end] > full[begin]:
+                out.append(posteriors(values[full[begin] : full[end]], stay).ravel())
+            begin = end
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(out)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), inner)
 
     return run

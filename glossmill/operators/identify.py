@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as tx
@@ -84,11 +84,9 @@ def resolve(tokens: DataFrame, key: str, decisions: DataFrame, config: Config =
     in_chain = (F.col("kind") != "UNIV") & (F.coalesce("forced", F.lit("")) != "univ")
     item = F.struct("pos", "text", "start", "end", in_chain.alias("chain"), "emission", "source", "forced")
     docs = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    docs = docs.withColumn("post", decoder(config.stay)(F.transform(F.filter("items", lambda x: x["chain"]), lambda x: x["emission"])))
-    flat = docs.select(key, "post", F.explode("items").alias("t")).select(key, "post", "t.*")
-    # the n-th chain token has the n-th posterior
-    nth = F.sum(F.col("chain").cast("int")).over(Window.partitionBy(key).orderBy("pos"))
-    flat = flat.withColumn("p", F.when(F.col("chain"), F.element_at("post", nth.cast("int"))))
+    empty = F.array().cast("array<double>")
+    docs = docs.withColumn("post", decoder(config.stay)(F.transform("items", lambda x: F.when(x["chain"], x["emission"]).otherwise(empty))))
+    flat = docs.select(key, F.explode(F.arrays_zip("items", "post")).alias("z")).select(key, "z.items.*", F.col("z.post").alias("p"))
     best = lambda c: F.element_at(labels, F.array_position(c, F.array_max(c)).cast("int"))
     own = lambda c, label: F.element_at(c, F.array_position(labels, label).cast("int"))
     label = F.when(~F.col("chain"), "univ").otherwise(F.coalesce("forced", best(F.col("p"))))
