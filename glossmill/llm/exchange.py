@@ -96,21 +96,41 @@ def bucket_count(keys: int, corpus: int = 0) -> int:
     return max(LEAST_BUCKETS, 1 << max(0, int(keys / (BUCKET_KEYS * growth(corpus)))).bit_length())
 
 
+def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts by (key, check), where each distinct pair begins in it, and each pair's number."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    if (checks[order][1:] != checks[order][:-1])[same].any():  # two texts of one key: rare, so checks are sorted only then
+        order = np.lexsort((checks, keys))
+        same = (keys[order][1:] == keys[order][:-1]) & (checks[order][1:] == checks[order][:-1])
+    first = np.concatenate([[True], ~same]) if len(keys) else np.zeros(0, bool)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(first) - 1
+    return order, np.flatnonzero(first), which
+
+
 def occurs_again(chunks: DataFrame, keys_of: Callable[..., np.ndarray], buckets: int, given: DataFrame | None = None) -> DataFrame:
     """``chunk, bucket, n, flags``: for the sorted distinct keys of every chunk, whether a key occurs twice or more in all.
 
-    ``keys_of`` gives a chunk's keys, each as often as it occurs; it is also handed the flags the chunk got in
-    the answers ``given``, if any.
+    ``keys_of`` gives a chunk's keys, each as often as it occurs, or a pair of keys and 32-bit checks, which must
+    then agree too; it is also handed the flags the chunk got in the answers ``given``, if any.
     """
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
-    def message(at: int, found: np.ndarray) -> pa.Table:
-        keys, times = np.unique(found, return_counts=True)
+    def message(at: int, found: np.ndarray | tuple[np.ndarray, np.ndarray]) -> pa.Table:
+        checks = None
+        if isinstance(found, tuple):
+            order, first, _ = distinct(*found)
+            keys, checks = (x[order[first]] for x in found)
+            times = np.diff(np.append(first, len(order)))
+        else:
+            keys, times = np.unique(found, return_counts=True)
         cuts = np.concatenate([np.searchsorted(keys, np.arange(buckets, dtype=np.uint64) << shift), [len(keys)]])
         full = np.flatnonzero(np.diff(cuts))
         blobs = [encode(keys[cuts[b] : cuts[b + 1]]) for b in full]
         twice = [np.packbits(times[cuts[b] : cuts[b + 1]] > 1).tobytes() for b in full]
-        return pa.table({"chunk": pa.array([at] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "n": pa.array(np.diff(cuts)[full], pa.int64()), "keys": pa.array(blobs, pa.binary()), "twice": pa.array(twice, pa.binary())})
+        more = [None if checks is None else checks[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+        return pa.table({"chunk": pa.array([at] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "n": pa.array(np.diff(cuts)[full], pa.int64()), "keys": pa.array(blobs, pa.binary()), "twice": pa.array(twice, pa.binary()), "checks": pa.array(more, pa.binary())})
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,15 +144,15 @@ def occurs_again(chunks: DataFrame, keys_of: Callable[..., np.ndarray], buckets:
         sizes = table["n"].to_pylist()
         keys = np.concatenate([decode(k, n) for k, n in zip(table["keys"].to_pylist(), sizes, strict=True)])
         times = 1 + np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(table["twice"].to_pylist(), sizes, strict=True)]).astype(np.int64)
-        order = np.argsort(keys)
-        run = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        checks = np.concatenate([np.zeros(n, np.uint32) if c is None else np.frombuffer(c, np.uint32) for c, n in zip(table["checks"].to_pylist(), sizes, strict=True)])
+        order, run, _ = distinct(keys, checks)
         again = np.empty(len(keys), bool)
         again[order] = np.repeat(np.add.reduceat(times[order], run) > 1, np.diff(np.append(run, len(keys))))
         ends = np.cumsum(sizes)
         flags = [np.packbits(again[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "n": table["n"], "flags": pa.array(flags, pa.binary())})
 
-    schema = "chunk long, bucket int, n long, keys binary, twice binary"
+    schema = "chunk long, bucket int, n long, keys binary, twice binary, checks binary"
     kept = chunks.select("chunk", "payload")
     sent = kept.mapInArrow(send, schema) if given is None else kept.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(send_given, schema)
     return sent.groupBy("bucket").applyInArrow(settle, "chunk long, bucket int, n long, flags binary")

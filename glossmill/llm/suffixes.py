@@ -1,16 +1,20 @@
-"""Removal of byte strings that occur more than once, by blockwise sorting of suffixes to a fixed depth.
+"""Removal of byte strings that occur more than once, by blockwise comparison of suffixes to a fixed depth.
 
 Whether a string of LENGTH bytes starts anywhere else shows between neighbours of the sorted suffixes. Full
 suffix order isn't needed, only suffixes compared to depth LENGTH, and only where a repeat is possible:
 
 1. Cover sample. With D a perfect difference cover modulo V, any two places i and j have some d < V with i + d
    and j + d both in the sample (their residues are in D). The sample's strings of LENGTH - V + 1 bytes are
-   ranked over the whole corpus (exchange.py): is this rank shared by another place?
+   looked up over the whole corpus (exchange.py): is this string at another place too?
 2. Two equal strings of LENGTH bytes agree at that sample place, so a suffix none of whose sample places
-   within V has a shared rank is unique: this settles nearly all suffixes without sorting them.
-3. The other suffixes are cut into buckets by their key, the 64-bit hash of their first LENGTH bytes, and
-   each bucket is sorted by itself, in PASSES rounds; equal neighbours are repeats. Ties of any length and of any number cost
-   one key a chunk, and a bucket's size is fixed, so memory is bounded whatever repeats.
+   within V has a shared string is unique: this settles most suffixes without comparing them.
+3. The other suffixes are cut into buckets by a 64-bit hash of their first LENGTH bytes, and each bucket is sorted
+   by itself, in PASSES rounds; neighbours that are equal in this and 32 more bits of another hash are repeats.
+   Ties of any length and of any number cost one key a chunk, and a bucket's size is fixed, so memory is bounded
+   whatever repeats.
+
+The suffixes left by step 2 aren't sorted by their bytes with cover ranks for long ties, as the method has it:
+they are as many as the repeated bytes are, and each would have to be sent with its bytes and ranks (README).
 
 Matches don't cross documents and are judged on the input: every copy of a repeat goes. Nulls: a null text is
 empty; rows with null or equal ids keep a row each. Texts shorter than LENGTH keep all bytes. Empty tables
@@ -33,11 +37,10 @@ from . import exchange as ex
 from . import textscan as ts
 
 LENGTH = 200
-PASSES = 2  # a power of two: so many blocks of suffix buckets are sorted one after the other, which bounds the disk needed
+PASSES = 4  # a power of two: so many blocks of suffix buckets are sorted one after the other, which bounds the disk needed
 Q = 11  # the cover's modulus is Q*Q + Q + 1 = 133
 _COARSE = np.uint64(16)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 @lru_cache(8)
@@ -61,18 +64,31 @@ def difference_cover(q: int = Q) -> tuple[int, tuple[int, ...]]:
     raise ValueError(f"no cover for {q}")
 
 
-def rolling(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums from which the hash of any byte range of ``buf`` follows."""
-    n = len(buf)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)]))[:n], dtype=np.uint64, out=sums[1:])
-    steps = np.full(n + 1, _INVERSE, np.uint64)
-    steps[0] = 1
-    return sums, np.cumprod(steps, dtype=np.uint64)
+class Rolling:
+    """Hashes of all byte ranges of one length of a buffer.
 
+    The eight bytes from each place on are mixed first; a range's hash is a sum of these over every eighth place,
+    each times a power of an odd base, so it follows from two sums over all places before.
+    """
 
-def range_hash(sums: np.ndarray, back: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    return ts.mix((sums[at + length] - sums[at]) * back[at])
+    def __init__(self, buf: np.ndarray, bases: tuple[int, ...] = _BASES[:1]):
+        n = len(buf)
+        rows = n // 8 + 1
+        padded = np.concatenate([buf, np.zeros(8 * rows + 8 - n, np.uint8)])
+        self.mixed = ts.mix(np.ndarray((8 * rows,), "<u8", padded.data, 0, (1,)) + np.uint64(1))
+        self.sums, self.back = [], []
+        for base in bases:
+            power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(rows, base, np.uint64)]))
+            sums = np.zeros((rows + 1, 8), np.uint64)
+            np.cumsum(self.mixed.reshape(rows, 8) * power[:rows, None], axis=0, dtype=np.uint64, out=sums[1:])
+            self.sums.append(sums.ravel())
+            self.back.append(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(rows, pow(base, -1, 1 << 64), np.uint64)])))
+
+    def of(self, at: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+        """The hash of ``length`` bytes, eight at least, from each place on."""
+        sums = self.sums[which]
+        h = (sums[at + length // 8 * 8] - sums[at]) * self.back[which][at // 8]
+        return ts.mix(h ^ ts.mix(self.mixed[at + length - 8])) if length % 8 else ts.mix(h)
 
 
 def _sample(lengths: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -93,16 +109,16 @@ def sample_keys(texts: list[bytes], length: int = LENGTH, q: int = Q) -> np.ndar
     for _, part in ts.blocks(texts):
         buf, start = ts.lay(part)
         of, at, size = _sample(np.diff(start) - 1, length, q)
-        out.append(range_hash(*rolling(buf), start[of] + at, size) >> _COARSE << _COARSE)
+        out.append(Rolling(buf).of(start[of] + at, size) >> _COARSE << _COARSE)
     return np.concatenate(out)
 
 
-def suffix_keys(texts: list[bytes], ranks: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Keys of the suffixes that may repeat; the places of each block's, among its laid texts."""
+def suffix_keys(texts: list[bytes], ranks: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Keys and checks of the suffixes that may repeat; the places of each block's, among its laid texts."""
     v, _ = difference_cover(q)
     _, which = np.unique(sample_keys(texts, length, q), return_inverse=True)
     shared = ranks[which] if len(which) else np.zeros(0, bool)
-    keys, places, done = [np.zeros(0, np.uint64)], [], 0
+    keys, checks, places, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [], 0
     for _, part in ts.blocks(texts):
         buf, start = ts.lay(part)
         lengths = np.diff(start) - 1
@@ -120,16 +136,19 @@ def suffix_keys(texts: list[bytes], ranks: np.ndarray, length: int = LENGTH, q:
         np.add.at(fits, start[:-1][long] + lengths[long] - length + 1, -1)
         place = np.flatnonzero(maybe & (np.cumsum(fits[:-1]) > 0))
         places.append(place)
-        keys.append(range_hash(*rolling(buf), place, length))
-    return np.concatenate(keys), places
+        hashes = Rolling(buf, _BASES)
+        keys.append(hashes.of(place, length))
+        checks.append((hashes.of(place, length, 1) >> np.uint64(32)).astype(np.uint32))
+    return np.concatenate(keys), np.concatenate(checks), places
 
 
 def _keys_of_pass(number: int, length: int, q: int):
     """Only the keys whose top bits are ``number``: the suffix buckets of one pass."""
 
-    def keys(batch: pa.RecordBatch, shared: np.ndarray) -> np.ndarray:
-        found = suffix_keys(ts.texts_of(batch, "text"), shared, length, q)[0]
-        return found[found >> np.uint64(64 - (PASSES.bit_length() - 1)) == number]
+    def keys(batch: pa.RecordBatch, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, checks, _ = suffix_keys(ts.texts_of(batch, "text"), shared, length, q)
+        mine = found >> np.uint64(64 - (PASSES.bit_length() - 1)) == number
+        return found[mine], checks[mine]
 
     return keys
 
@@ -142,11 +161,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     spark = docs.sparkSession
     chunks = ex.chunk_table(docs)
     total = ex.corpus_bytes(chunks)
-    ranks = cut(ex.occurs_again(chunks, lambda batch: sample_keys(ts.texts_of(batch, "text"), length, q), ex.bucket_count(total // (q - 1))))
+    ranks = cut(ex.occurs_again(chunks, lambda batch: sample_keys(ts.texts_of(batch, "text"), length, q), ex.bucket_count(total // (q - 1), total)))
     release(spark)
     again = None
     for half in range(PASSES):
-        found = cut(ex.occurs_again(chunks, _keys_of_pass(half, length, q), ex.bucket_count(total // 4), ranks))
+        found = cut(ex.occurs_again(chunks, _keys_of_pass(half, length, q), ex.bucket_count(total // 4, total), ranks))
         again = found if again is None else again.union(found)
     release(spark)
 
@@ -154,8 +173,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
         batch = ex.unpack(left["payload"][0].as_py())
         texts = ts.texts_of(batch, "text")
         second = np.asarray(right["second"]).astype(bool)
-        keys, places = suffix_keys(texts, ex.flags_of(right.filter(pa.array(~second))), length, q)
-        _, which = np.unique(keys, return_inverse=True)
+        keys, checks, places = suffix_keys(texts, ex.flags_of(right.filter(pa.array(~second))), length, q)
+        which = ex.distinct(keys, checks)[2]
         flags = ex.flags_of(right.filter(pa.array(second)))
         hit = flags[which] if len(keys) else np.zeros(0, bool)
         rows, done = [], 0
