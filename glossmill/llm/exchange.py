@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from glossmill.plans.lineage import cut
 
+from . import textscan as ts
+
 CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 1 << 21
 LEAST_BUCKETS = 64
@@ -136,11 +138,14 @@ def occurs_again(chunks: DataFrame, keys_of: Callable[..., np.ndarray], buckets:
         for batch in batches:
             for at, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield from message(at, keys_of(unpack(payload))).to_batches()
+                ts.trim()
 
     def send_given(left: pa.Table, right: pa.Table) -> pa.Table:
+        ts.trim()
         return message(left["chunk"][0].as_py(), keys_of(unpack(left["payload"][0].as_py()), flags_of(right)))
 
     def settle(table: pa.Table) -> pa.Table:
+        ts.trim()
         sizes = table["n"].to_pylist()
         keys = np.concatenate([decode(k, n) for k, n in zip(table["keys"].to_pylist(), sizes, strict=True)])
         times = 1 + np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(table["twice"].to_pylist(), sizes, strict=True)]).astype(np.int64)
@@ -169,6 +174,7 @@ def loses(chunks: DataFrame, given: DataFrame, found_in: Callable[..., tuple[np.
     flat = lambda b, n: np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, n).T).view(np.int64).ravel()
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        ts.trim()
         key, check, ids, null = found_in(unpack(left["payload"][0].as_py()), flags_of(right))
         order = np.lexsort((ids, null, check, key))
         key, check, ids, null = key[order], check[order], ids[order], null[order]
@@ -183,6 +189,7 @@ def loses(chunks: DataFrame, given: DataFrame, found_in: Callable[..., tuple[np.
         })
 
     def settle(table: pa.Table) -> pa.Table:
+        ts.trim()
         sizes = table["n"].to_pylist()
         all_of = lambda name, read: np.concatenate([read(b, n) for b, n in zip(table[name].to_pylist(), sizes, strict=True)])
         key, check = all_of("keys", decode), all_of("checks", lambda b, n: np.frombuffer(b, np.uint64))
@@ -208,6 +215,7 @@ def with_answers(chunks: DataFrame, answers: DataFrame, work: Callable[[pa.Recor
     """``work(rows, flags)`` over every chunk and the answers it got, and the chunk beside."""
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        ts.trim()
         out = work(unpack(left["payload"][0].as_py()), flags_of(right))
         return out.append_column("chunk", pa.array([left["chunk"][0].as_py()] * out.num_rows, pa.int64()))
 

@@ -217,10 +217,10 @@ def _group_links(tokens: DataFrame, sets: DataFrame, links: DataFrame, percent:
     return rows.groupBy("grp", "i", "j").applyInArrow(meet, "a binary, b binary")
 
 
-def _classes(docs: DataFrame, columns: list[str], percent: int, n: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """The chunks of ``docs``; and ``chunk, row, doc_id, n, label, tie`` of every row, label null without words."""
+def _classes(docs: DataFrame, keep: bool, percent: int, n: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The chunks of ``docs``, of all columns if ``keep``; and ``chunk, row, doc_id, n, label, tie`` of every row, label null without words."""
     spark = docs.sparkSession
-    chunks = ex.chunk_table(docs, columns)
+    chunks = ex.chunk_table(docs, docs.columns if keep else ["doc_id", "text"])
     total = ex.corpus_bytes(chunks)
 
     def distinct(batch: pa.RecordBatch) -> tuple[list[np.ndarray], dict[bytes, int], list[bytes | None]]:
@@ -248,7 +248,10 @@ def _classes(docs: DataFrame, columns: list[str], percent: int, n: int, block: i
             part = s[shared[e - len(s) : e]]
             if len(part) >= need(len(s), percent):
                 arrays[i] = part.tobytes()
-        ties = [hashlib.blake2b(repr(sorted(x.items())).encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in batch.to_pylist()] if len(columns) > 2 else [None] * len(sets)
+        ties: list[bytes | None] = [None] * len(sets)
+        if keep:
+            rest = batch.select([c for c in batch.schema.names if c != "text"]).to_pylist()
+            ties = [hashlib.blake2b(t + repr(sorted(x.items())).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t, x in zip(ts.texts_of(batch, "text"), rest, strict=True)]
         return pa.table({"row": pa.array(range(len(sets)), pa.int64()), "doc_id": batch.column(batch.schema.get_field_index("doc_id")), "n": pa.array([len(s) for s in sets], pa.int64()), "c": pa.array(names, pa.binary()), "tie": pa.array(ties, pa.binary()), "arr": pa.array(arrays, pa.binary())})
 
     answers = ex.occurs_again(chunks, keys, ex.bucket_count(total // 5, total))
@@ -282,7 +285,7 @@ def _classes(docs: DataFrame, columns: list[str], percent: int, n: int, block: i
 
 def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = N, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
-    _, rows = _classes(docs, ["doc_id", "text"], percent, n, block)
+    _, rows = _classes(docs, False, percent, n, block)
     rows = cut(rows)
     least = cut(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")))
     named = rows.join(least, "label", "left")
@@ -295,13 +298,14 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, n: int = N, block: int = B
     Rows without words are linked with nothing, so all of them stay. Rows are told apart by their place, not by
     their id: rows that share an id but not a class are kept or not each by itself.
     """
-    chunks, rows = _classes(docs, docs.columns, percent, n, block)
+    chunks, rows = _classes(docs, True, percent, n, block)
     rows = cut(rows.where("label is not null"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "chunk", "row")
     first = cut(rows.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1"))
     gone = rows.join(first, "label").where(order > F.col("first")).select("chunk", "row")
 
     def left(chunk: pa.Table, drop: pa.Table) -> pa.Table:
+        ts.trim()
         batch = ex.unpack(chunk["payload"][0].as_py())
         stay = np.ones(batch.num_rows, bool)
         stay[drop["row"].to_numpy()] = False

@@ -138,6 +138,7 @@ def remove_spans(docs: DataFrame, run: int = RUN, least: int = LEAST, figures: t
     shape = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in figures)])
 
     def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
+        ts.trim()
         batch = ex.unpack(left["payload"][0].as_py())
         texts = ts.texts_of(batch, "text")
         at_text = batch.schema.get_field_index("text")

@@ -170,6 +170,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     release(spark)
 
     def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
+        ts.trim()
         batch = ex.unpack(left["payload"][0].as_py())
         texts = ts.texts_of(batch, "text")
         second = np.asarray(right["second"]).astype(bool)

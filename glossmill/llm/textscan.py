@@ -7,6 +7,8 @@ newline behind each, so no word or line spans two of them. Null texts count as e
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,6 +61,22 @@ def chained(values: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.nda
     return h
 
 
+def trim() -> None:
+    """Hand the memory that a chunk took back to the system; a worker keeps it otherwise, however small its next task."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+@functools.lru_cache(1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # another C library
+        return None
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as bytes; null becomes empty."""
     column = batch.column(batch.schema.get_field_index(name))
