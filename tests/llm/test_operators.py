@@ -1,6 +1,7 @@
 """The ten operators on a small table of hard rows, against plain versions."""
 
 import base64
+import gzip
 import hashlib
 import io
 import math
@@ -10,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -141,6 +143,50 @@ def test_warc(spark, tmp_path):
     assert [(r["record_type"], r["target_uri"]) for r in found] == [("revisit", "w")]  # the reader itself drops the others
     headers = warc.read(spark, str(tmp_path / "w"), payload="false")
     assert headers.where("payload is not null").count() == 0 and headers.count() == len(rows)
+    with pytest.raises(ValueError):
+        warc.write(pages, str(tmp_path / "w"))
+    files = sorted((tmp_path / "w").iterdir())
+    assert files and all(f.name.endswith(".warc.gz") for f in files)  # nothing hidden is left
+    as_stream = [r for f in files for r in warc.parse(gzip.open(f), [])]  # any gzip reader reads the same
+    assert sorted(map(str, as_stream)) == sorted(str(r) for f in files for r in warc.archive(pa.OSFile(str(f)), []))
+
+
+class _Watched:
+    """A file that notes how many bytes are read of it."""
+
+    def __init__(self, data: bytes):
+        self.inner, self.taken = pa.BufferReader(data), 0
+
+    def read(self, n: int) -> bytes:
+        data = self.inner.read(n)
+        self.taken += len(data)
+        return data
+
+    def __getattr__(self, name: str):
+        return getattr(self.inner, name)
+
+
+def test_warc_passes_by_what_is_not_wanted():
+    noise = np.random.default_rng(5).bytes(3_000_000)
+    record = lambda kind, body: b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, len(body), body)
+    records = [record(b"response", noise), record(b"revisit", b""), record(b"response", b"\x1f\x8b\x08\x04 WARC/1.1\r\n"), record(b"revisit", b"x\r\n\r\n")]
+    want = [r[-1] for r in warc.parse(io.BytesIO(b"".join(records)), [])]
+    several = warc.member(records[0]) + warc.member(records[1] + records[2]) + warc.member(records[3])
+    foreign = warc.member(records[0]) + b"".join(map(gzip.compress, records[1:]))
+    for data, seeks in ((b"".join(records), True), (b"".join(map(warc.member, records)), True), (several, True), (foreign, True), (b"".join(map(gzip.compress, records)), False)):
+        assert [r[-1] for r in warc.archive(_Watched(data), [])] == want
+        some = _Watched(data)
+        assert [r[-1] for r in warc.archive(some, [("record_type", frozenset(["revisit"]))])] == [want[1], want[3]]
+        bare = _Watched(data)
+        assert [r[5:] for r in warc.archive(bare, [], False)] == [(len(b), len(b), None) for b in want]
+        assert (some.taken < 300_000) == (bare.taken < 300_000) == seeks
+        for end in (len(data) - 6, len(data) // 2):
+            with pytest.raises((ValueError, EOFError)):
+                list(warc.archive(_Watched(data[:end]), []))
+    wrong = bytearray(warc.member(records[3]))
+    wrong[-5] ^= 1
+    with pytest.raises(zlib.error):
+        list(warc.archive(_Watched(bytes(wrong)), []))
 
 
 def test_warc_bad_records():
