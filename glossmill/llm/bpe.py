@@ -8,6 +8,10 @@ last constant wins, so an associative scan (a running maximum of positions) give
 run. White space gives its last blank to the run behind it, and an apostrophe alone before s, t, m, d, re, ve
 or ll starts a contraction. Each distinct slice is merged once and kept.
 
+The byte offset of every pre-token is kept beside the ids. Decoding finds the ids of each pre-token by the lengths of
+its tokens, so any range of pre-tokens is decoded without what lies before it, and ids that don't meet the offsets
+are an error.
+
 Nulls: a null text is empty and has no tokens. Repeated rows keep a row each; empty tables give empty results.
 """
 
@@ -79,6 +83,8 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
         self.token = {v: k for k, v in self.ranks.items()}
+        self.sizes = np.zeros(max(self.token) + 1, np.int64)
+        self.sizes[list(self.token)] = [len(t) for t in self.token.values()]
         self.known: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -113,8 +119,20 @@ class Codec:
                 out.append((self.encode_pieces([t[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]), offsets))
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids.tolist()))
+    def places(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The place in ``ids`` where each pre-token starts, and the number of ids at the end."""
+        if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.sizes)):
+            raise ValueError("an id that no token has")
+        starts = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        at = np.searchsorted(starts, offsets)
+        if (at >= len(ids)).any() or (starts[at] != offsets).any() or bool(len(ids)) != bool(len(offsets)):
+            raise ValueError("ids and offsets are not of one text")
+        return np.append(at, len(ids))
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray, first: int = 0, last: int | None = None) -> bytes:
+        """The bytes of the pre-tokens from ``first`` up to ``last`` (not included; None: all)."""
+        chosen = self.places(ids, offsets)[first : None if last is None else last + 1]
+        return b"".join(map(self.token.__getitem__, ids[chosen[0] : chosen[-1]].tolist())) if len(chosen) else b""
 
 
 @functools.lru_cache(2)
@@ -133,6 +151,22 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
 
 
+def decode_documents(encoded: DataFrame, path: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """``doc_id, text binary``: the bytes of the pre-tokens from ``first`` up to ``last`` of what encode_documents gives.
+
+    A range beyond the last pre-token is empty there; null ids or offsets give null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            texts = [None if i is None or o is None else c.decode(np.array(i, np.int64), np.array(o, np.int64), first, last) for i, o in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, "doc_id long, text binary")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every text, encoded and decoded again."""
     kinds = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -142,10 +176,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         decimal = [b"%d" % i for i in range(max(c.token) + 1)]
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for ids, _ in c.encode(ts.texts_of(batch, "text")):
+            for ids, offsets in c.encode(ts.texts_of(batch, "text")):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids.tolist()))).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                text_sha.append(hashlib.sha256(c.decode(ids, offsets)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], kinds)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

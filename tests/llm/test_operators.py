@@ -407,7 +407,21 @@ def test_bpe(docs, empty):
     assert bpe.encode_documents(empty, path).count() == 0
     rng, letters = np.random.default_rng(0), list("  \n\t''srtevmlld1½.,é中😀\x85")
     texts = ["".join(rng.choice(letters, rng.integers(0, 12))) for _ in range(5000)]
-    assert [i.tolist() for i, _ in bpe.codec(path).encode([t.encode() for t in texts])] == [e.encode_ordinary(t) for t in texts]
+    coded = bpe.codec(path).encode([t.encode() for t in texts])
+    assert [i.tolist() for i, _ in coded] == [e.encode_ordinary(t) for t in texts]
+    for t, (ids, offsets) in zip(texts, coded, strict=True):
+        cuts = [*offsets.tolist(), len(t.encode())]
+        a, b = sorted(rng.integers(0, len(cuts), 2).tolist())
+        assert bpe.codec(path).decode(ids, offsets) == t.encode()
+        assert bpe.codec(path).decode(ids, offsets, a, b) == t.encode()[cuts[a] : cuts[b]]
+    ids, offsets = bpe.codec(path).encode([b"several words here"])[0]
+    for i, o in ((ids, offsets + 1), (ids[1:], offsets), (ids, offsets[:0]), (ids[:0], offsets), (ids + 99_999, offsets)):
+        with pytest.raises(ValueError):
+            bpe.codec(path).decode(i, o)
+    encoded = bpe.encode_documents(docs, path)
+    assert sorted(map(tuple, bpe.decode_documents(encoded, path).collect()), key=key) == sorted([(i, bytearray((t or "").encode())) for i, t in ROWS], key=key)
+    second = {r.doc_id: bytes(r.text) for r in bpe.decode_documents(encoded, path, 1, 2).collect()}
+    assert second[8] == b" one" and second[6] == b"" and bpe.decode_documents(encoded.limit(0), path).count() == 0
 
 
 def sentences_of(text):
