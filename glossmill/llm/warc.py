@@ -1,6 +1,7 @@
 """WARC archives, written and read by one Python data source.
 
-Writing: ``df.write.format("warc")`` takes rows of ``header`` and ``body``, both binary. Each record becomes a
+Writing: ``df.write.format("warc")`` takes rows of ``header``, which ends with its blank line,
+and ``body``, both binary (null body: empty; a null header is an error). Each record becomes a
 gzip member of its own, whose extra field tells the member's length. Tasks write files of at most about
 FILE_BYTES under names of their own in a hidden folder; the commit moves the files of the tasks that counted and
 deletes the rest, so a task that runs twice leaves nothing behind. ``write`` makes the records of a table of pages: of those
@@ -133,7 +134,7 @@ class WarcWriter(DataSourceArrowWriter):
                         names.append(f"part-{uuid.uuid4().hex}.warc.gz")
                         fs.create_dir(posixpath.join(path, self.hidden), recursive=True)
                         out, size = fs.open_output_stream(posixpath.join(path, self.hidden, names[-1]), compression=None), 0
-                    data = member(header.as_py() + body.as_py() + END)
+                    data = member(header.as_py() + (body.as_py() or b"") + END)
                     out.write(data)
                     size += len(data)
                     if size >= FILE_BYTES:
@@ -397,6 +398,8 @@ class WarcDataSource(DataSource):
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         if overwrite:
             raise ValueError("archives are only appended to")
+        if [(f.name, f.dataType.typeName()) for f in schema.fields] != [("header", "binary"), ("body", "binary")]:
+            raise ValueError("records to write are rows of header and body, both binary")
         return WarcWriter(self.options)
 
 
