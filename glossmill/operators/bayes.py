@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as tx
+from glossmill.functions.pieces import pack_numbers, trim, unpack_numbers
 from glossmill.plans.lineage import cut
 
+CHUNK_WORDS = 1 << 17
+SLICE_WORDS = 1 << 13
 
 class WordClassifier(Protocol):
     """What an identifier needs of a classifier."""
@@ -77,19 +85,70 @@ def fit(pairs: DataFrame, labels: tuple[str, ...] = tx.LANGUAGES, longest: int =
 
 
 def predict(words: DataFrame, word: str, model: Model) -> DataFrame:
-    """``word, probs array<double>`` in the order of the model's labels, for distinct words."""
-    distinct = words.select(F.col(word).alias("word")).distinct()
-    rows = distinct.select("word", tx.normalize(F.col("word")).alias("_n")).select("word", F.explode(tx.grams(F.col("_n"), 1, model.longest)).alias("gram"))
-    found = rows.join(model.grams, "gram", "left")
-    sums = [F.sum(F.ln((F.coalesce(F.col(x), F.lit(0)) + model.alpha) / (total + model.alpha * (model.vocabulary + 1)))).alias(f"_s{i}") for i, (x, total, _) in enumerate(model.stats)]
-    scored = found.groupBy("word").agg(F.count("*").alias("_g"), *sums)
-    score = F.array(*(F.lit(prior) + F.col(f"_s{i}") / F.pow(F.col("_g"), F.lit(model.temper)) for i, (_, _, prior) in enumerate(model.stats)))
-    scored = scored.select("word", score.alias("_score"))
-    powers = F.transform("_score", lambda s: F.exp(s - F.array_max("_score")))
-    scored = scored.withColumn("_p", powers)
-    total = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
-    even = F.array(*(F.lit(1.0 / len(model.labels)) for _ in model.labels))
-    return distinct.join(scored.select("word", F.transform("_p", lambda x: x / total).alias("probs")), "word", "left").withColumn("probs", F.coalesce("probs", even))
+    """``word, probs array<double>`` in the order of the model's labels, for distinct words.
+
+    Words are kept in chunks. A chunk asks for each distinct gram once, so neither words nor grams are shuffled as
+    often as they occur in one another.
+    """
+    longest, k = model.longest, len(model.stats)
+    priors, totals = (np.array([x[i] for x in model.stats], float) for i in (2, 1))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE_WORDS):
+                held.append(batch.slice(first, SLICE_WORDS))
+                size += held[-1].num_rows
+                if size >= CHUNK_WORDS:
+                    yield row(at, held)
+                    at, held, size = at + 1, [], 0
+        if held:
+            yield row(at, held)
+
+    def row(at: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found, sizes = [], []
+        for batch in held:
+            grams = [_grams(w, longest) for w in batch.column(1).to_pylist()]
+            sizes += map(len, grams)
+            found.append(pa.array(list(chain.from_iterable(grams)), pa.string()).dictionary_encode())
+        whole = pa.chunked_array(found).unify_dictionaries()
+        codes = np.concatenate([x.indices.to_numpy() for x in whole.chunks])
+        names = pa.concat_arrays([x.column(0) for x in held])
+        values = [at, pack_numbers(codes), pack_numbers(np.array(sizes)), names.to_pylist(), whole.chunk(0).dictionary.to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string())), strict=True)], ["chunk", "codes", "sizes", "words", "grams"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
+        codes, sizes = (unpack_numbers(left[x][0].as_py()) for x in ("codes", "sizes"))
+        names = left["words"].combine_chunks().flatten()
+        counts = np.zeros((right.num_rows, k))
+        place = right["code"].to_numpy()
+        for i in range(k):
+            counts[place, i] = right[f"n{i}"].to_numpy()
+        logs = np.log((counts + model_alpha) / (totals + model_alpha * (vocabulary + 1)))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sums = np.stack([np.bincount(owner, logs[codes, i], len(sizes)) for i in range(k)], axis=1)
+        scores = priors + sums / np.maximum(sizes, 1)[:, None] ** temper
+        powers = np.exp(scores - scores.max(axis=1, keepdims=True))
+        probs = powers / powers.sum(axis=1, keepdims=True)
+        probs[sizes == 0] = 1.0 / len(labels)
+        ends = np.arange(len(sizes) + 1, dtype=np.int32) * k
+        return pa.table({"word": names, "probs": pa.ListArray.from_arrays(pa.array(ends), pa.array(probs.ravel()))})
+
+    model_alpha, vocabulary, temper, labels = model.alpha, model.vocabulary, model.temper, model.labels
+    distinct = words.select(F.col(word).alias("word")).distinct().select("word", tx.normalize(F.col("word")).alias("_n"))
+    chunks = cut(distinct.mapInArrow(pack, "chunk long, codes binary, sizes binary, words array<string>, grams array<string>"))
+    asked = chunks.select(F.col("chunk").alias("to"), F.posexplode("grams").alias("code", "gram"))
+    counted = asked.join(model.grams, "gram", "left").select("to", "code", *(F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(f"n{i}") for i, (x, _, _) in enumerate(model.stats)))
+    return chunks.drop("grams").groupBy("chunk").cogroup(counted.groupBy("to")).applyInArrow(score, "word string, probs array<double>")
+
+
+def _grams(norm: str | None, longest: int) -> list[str]:
+    """What ``text.grams`` gives, from one on."""
+    if norm is None:
+        return []
+    b = f"<{norm}>"
+    return [g for n in range(1, min(longest, len(b)) + 1) for i in range(len(b) + 1 - n) if (g := b[i : i + n]) not in ("<", ">")]
 
 
 def save(model: Model, path: str) -> None:

@@ -8,29 +8,57 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 FLOOR = 1e-4
+BLOCK = 1 << 18  # tokens walked at once
 
 
 def posteriors(emissions: np.ndarray, stay: float = 0.8) -> np.ndarray:
-    """Rows are tokens, columns labels. Messages are rescaled at each step, so long texts don't underflow."""
-    t, k = emissions.shape
-    e = np.maximum(emissions, FLOOR)
+    """Rows are tokens of one chain, columns labels."""
+    return chains(emissions, np.array([len(emissions)]), stay)
+
+
+def chains(emissions: np.ndarray, sizes: np.ndarray, stay: float = 0.8) -> np.ndarray:
+    """Posteriors of chains one behind the other, ``sizes`` tokens each; chains of about a length are walked side by
+    side. Messages are rescaled at each step, so long texts don't underflow."""
+    out = np.empty(emissions.shape)
+    begins = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    share = np.cumsum(sizes[order]) // BLOCK
+    for some in np.split(order, np.flatnonzero(np.diff(share)) + 1):
+        if len(some):
+            _walk(emissions, begins[some], sizes[some], stay, out)
+    return out
+
+
+def _walk(emissions: np.ndarray, begins: np.ndarray, sizes: np.ndarray, stay: float, out: np.ndarray) -> None:
+    """Chains from the longest to the shortest, step by step: at each step, the chains that have it."""
+    k = emissions.shape[1]
     leave = (1 - stay) / (k - 1)
     keep = stay - leave
-    forward, backward = np.empty((t, k)), np.ones((t, k))
-    now = e[0] / e[0].sum()
-    forward[0] = now
-    for i in range(1, t):
-        now = e[i] * (keep * now + leave * now.sum())
-        now = now / now.sum()
-        forward[i] = now
-    now = backward[t - 1]
-    for i in range(t - 2, -1, -1):
-        seen = e[i + 1] * now
-        now = keep * seen + leave * seen.sum()
-        now = now / now.sum()
-        backward[i] = now
-    both = forward * backward
-    return both / both.sum(axis=1, keepdims=True)
+    steps = int(sizes[0])
+    width = len(sizes) - np.searchsorted(sizes[::-1], np.arange(steps), side="right")  # chains longer than the step
+    off = np.cumsum(width) - width
+    step = np.repeat(np.arange(steps), width)
+    at = begins[np.arange(len(step)) - off[step]] + step  # by step, then chain: which token
+    e = np.maximum(emissions[at].T, FLOOR)
+    forward, backward = np.empty(e.shape), np.ones(e.shape)
+    edges = [*off.tolist(), len(step)]
+    now = forward[:, : edges[1]]
+    np.divide(e[:, : edges[1]], e[:, : edges[1]].sum(axis=0), out=now)
+    for i in range(1, steps):
+        a, z = edges[i], edges[i + 1]
+        before, now = now[:, : z - a], forward[:, a:z]
+        np.multiply(e[:, a:z], keep * before + leave * before.sum(axis=0), out=now)
+        now /= now.sum(axis=0)
+    for i in range(steps - 2, -1, -1):
+        a, z = edges[i + 1], edges[i + 2]
+        seen = e[:, a:z] * backward[:, a:z]
+        now = backward[:, edges[i] : edges[i] + z - a]
+        np.add(keep * seen, leave * seen.sum(axis=0), out=now)
+        now /= now.sum(axis=0)
+    forward *= backward
+    forward /= forward.sum(axis=0)
+    out[at] = forward.T
 
 
 def decoder(stay: float = 0.8):
@@ -40,20 +68,15 @@ def decoder(stay: float = 0.8):
     """
 
     @F.arrow_udf("array<array<double>>")
-    def run(chains: pa.Array) -> pa.Array:
-        tokens = chains.flatten()
+    def run(chains_: pa.Array) -> pa.Array:
+        tokens = chains_.flatten()
         sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(chains), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(chains_), 0).to_numpy(zero_copy_only=False))
         full = np.concatenate([[0], np.cumsum(sizes > 0)])
         values = tokens.flatten().to_numpy(zero_copy_only=False)
         if len(values):
-            values = values.reshape(full[-1], -1)
-        out, begin = [np.zeros(0)], 0
-        for end in ends.tolist():
-            if full[end] > full[begin]:
-                out.append(posteriors(values[full[begin] : full[end]], stay).ravel())
-            begin = end
-        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(out)))
+            values = chains(values.reshape(full[-1], -1), np.diff(full[np.concatenate([[0], ends])]), stay).ravel()
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.float64()))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), inner)
 
     return run

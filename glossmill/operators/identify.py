@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import text as tx
 
-from . import bayes, words
+from . import bayes, chunked, words
 from .decode import decoder
 from .views import summarize
 
@@ -105,7 +105,18 @@ class Identifier:
         return resolve(tokens, key, decide(distinct, self.lexicon, self.model, self.config), self.config)
 
     def identify(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        return self.identify_tokens(tx.tokenize(docs, key, text), key)
+        """``key, pos, text, start, end, label, confidence, source``; each row of ``docs`` is a text of its own."""
+        return chunked.tokens(*self._settled(docs, key, text), key, docs.schema[key].dataType, self.config)
+
+    def tally(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """``label, source, n``: how many of ``identify``'s tokens have them."""
+        return chunked.tally(*self._settled(docs, key, text), self.config)
+
+    def _settled(self, docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+        chunks = chunked.pack(docs, key, text)
+        found = chunked.piece_tokens(chunks)
+        distinct = found.where("kind <> 'UNIV'").select("text", "kind").distinct()
+        return chunks, chunked.answers(chunks, found, decide(distinct, self.lexicon, self.model, self.config), self.config)
 
     def identify_pretokenized(self, rows: DataFrame, key: str, pos: str, word: str) -> DataFrame:
         return self.identify_tokens(tx.pretokenized(rows, key, pos, word), key)

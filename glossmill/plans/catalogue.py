@@ -401,7 +401,7 @@ def identify_tokens(spark, sf_dir):
 def identify_documents(spark, sf_dir):
     """Tokens of whole documents by label and source; SQL would walk chains of thousands of words."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return _identifier(spark, sf_dir).identify(docs, "doc_id", "text").groupBy("label", "source").agg(F.count("*").alias("n"))
+    return _identifier(spark, sf_dir).tally(docs, "doc_id", "text")
 
 
 @query(f"WITH found AS MATERIALIZED {_FOUND} SELECT id, CAST(n_words AS BIGINT) AS n_words, CAST(n_switches AS BIGINT) AS n_switches, dominant, code_switched, round(bam / n_words, 6) AS bam, round(fra / n_words, 6) AS fra, round(eng / n_words, 6) AS eng FROM {_summary_sql('found')}")

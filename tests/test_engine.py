@@ -5,13 +5,16 @@ import json
 import math
 import threading
 import urllib.parse
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from glossmill.functions import pieces
 from glossmill.functions import text as tx
-from glossmill.operators import bayes, decode, identify, metrics, views, words
+from glossmill.operators import bayes, chunked, decode, identify, metrics, views, words
 from glossmill.sources import readers
 from glossmill.streaming import lines
 
@@ -213,3 +216,39 @@ def test_parquet_limit_takes_the_first_rows(spark, tmp_path):
     spark.range(100).selectExpr("id", "'c' config", "if(id < 50, 'train', 'test') split").coalesce(1).write.partitionBy("config", "split").parquet(str(tmp_path / "p"))
     got = readers.read_parquet(spark, str(tmp_path / "p"), ["id"], "c", "test", 3)
     assert [r.id for r in got.collect()] == [50, 51, 52] and readers.read_parquet(spark, str(tmp_path / "p")).count() == 100
+
+
+def test_documents_in_chunks_are_identified_as_token_rows(spark, identifier, monkeypatch):
+    texts = ["Le www.x.y/a,b! (nom.prenom@ex.org.) dit: «Taara» 3,5.6 l’Ami… Musa? Hello, World.", "la Maison. La Dugu ye", "", None, "　é、x。x@y.z;q a.b", "bɛ IV 10h n'a\n\nBonjour", "a" * 50 + " b" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "id long, text string").coalesce(1)
+    want = sorted(map(tuple, identifier.identify_tokens(tx.tokenize(docs, "id", "text"), "id").collect()))
+    monkeypatch.setattr(chunked, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(chunked, "SLICE_BYTES", 100)
+    monkeypatch.setattr(chunked, "PART_PIECES", 20)
+    assert sorted(map(tuple, identifier.identify(docs, "id", "text").collect())) == want
+    counts = Counter((r[5], r[7]) for r in want)
+    assert sorted(map(tuple, identifier.tally(docs, "id", "text").collect())) == sorted((*k, n) for k, n in counts.items())
+
+
+def test_identification_keeps_a_repeated_word_once_a_chunk(spark, identifier):
+    """Rows between the stages follow distinct words, not tokens; each token was a shuffled row before."""
+    docs = spark.createDataFrame([(1, "taara dugu " * 20_000)], "id long, text string")
+    told = identifier._settled(docs, "id", "text")[1]
+    assert told.count() == 2
+    assert [r.n for r in identifier.tally(docs, "id", "text").collect()] == [40_000]
+
+
+def test_pieces_lie_where_they_say():
+    text = "a.b 3,5! x@y.z.! www.a.b,c ... a.5\té… «x»"
+    found, counts, starts, lengths = pieces.cut_up(pa.array([None, text, "", "  "]))
+    assert counts.tolist() == [0, len(found), 0, 0]
+    assert found.to_pylist() == [text[a : a + n] for a, n in zip(starts, lengths, strict=True)] == ["a", ".", "b", "3,5", "!", "x@y.z.!", "www.a.b,c", ".", ".", ".", "a.5", "é", "…", "«x»"]
+
+
+def test_chains_side_by_side_are_decoded_as_one_by_one(monkeypatch):
+    r = np.random.default_rng(1)
+    sizes = np.array([3, 0, 1, 40, 7, 7, 200, 0])
+    e = r.random((sizes.sum(), 3))
+    monkeypatch.setattr(decode, "BLOCK", 50)
+    ends = np.cumsum(sizes)
+    assert (decode.chains(e, sizes) == np.concatenate([decode.posteriors(e[z - n : z]) for z, n in zip(ends, sizes, strict=True) if n])).all()
