@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
+SLICE_BYTES = 4 << 20
+
 #: Of each byte: white space; a mark; a mark unless a digit may follow; a sign of addresses and URLs.
 BLANK, MARK, POINT, ADDRESS = 1, 2, 4, 8
 CLASS = np.zeros(256, np.uint8)
@@ -80,6 +83,34 @@ def cut_up(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
     return segments.filter(pa.array(full)), np.bincount(text_of, minlength=len(texts)), points[cuts[:-1][full]] - points[bounds[text_of]], lengths
 
 
+def piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of a text and more columns: those columns, each piece of their texts, and how often it occurs."""
+    for batch in batches:
+        share = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            if z > a:
+                yield _counted(batch.slice(a, z - a))
+
+
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found, counts, _, _ = cut_up(batch.column(0))
+    words = found.dictionary_encode()
+    group = np.zeros(batch.num_rows, np.int64)  # rows that agree in the other columns
+    for column in batch.columns[1:]:
+        try:
+            code = column.dictionary_encode("encode").indices.to_numpy()
+        except (pa.ArrowNotImplementedError, pa.ArrowInvalid):  # nested: each row by itself
+            code = np.arange(batch.num_rows)
+        _, group = np.unique(group * (int(code.max(initial=0)) + 1) + code, return_inverse=True)
+    _, row = np.unique(group, return_index=True)
+    many = max(1, len(words.dictionary))
+    pair, n = np.unique(np.repeat(group, counts) * many + words.indices.to_numpy(), return_counts=True)
+    rows = pa.array(row[pair // many])
+    columns = [*(x.take(rows) for x in batch.columns[1:]), words.dictionary.take(pa.array(pair % many)).cast(pa.string()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], "_piece", "n"])
+
+
 def pack_numbers(x: np.ndarray) -> bytes:
     """Numbers below 2^31, their bytes in planes."""
     planes = np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pieces import piece_counts
+
 # Character classes, clitics, spelling marks, label order.
 SPACE = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\p{Z}"
 WORDISH = r"\p{L}\p{N}_"
@@ -96,7 +98,10 @@ def token_kinds(docs: DataFrame, text: str, *keep: str) -> DataFrame:
 
 def token_counts(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     """``keep, text, kind, n``: how often each token occurs. Rules run on distinct tokens only."""
-    tile = docs.select(*keep, F.explode(_bare(text)).alias("tile")).groupBy(*keep, "tile").agg(F.count("*").alias("n"))
+    schema = T.StructType([*(docs.schema[x] for x in keep), T.StructField("_piece", T.StringType()), T.StructField("n", T.LongType())])
+    counted = docs.select(F.col(text).alias("_text"), *keep).mapInArrow(piece_counts, schema)
+    counted = counted.groupBy(*keep, "_piece").agg(F.sum("n").alias("n"))
+    tile = counted.select(*keep, "n", F.explode(_bare("_piece")).alias("tile"))
     parts = tile.select(*keep, "n", F.explode(pieces_of(F.col("tile"))).alias("p"))
     return parts.groupBy(*keep, F.col("p.text").alias("text"), F.col("p.kind").alias("kind")).agg(F.sum("n").alias("n"))
 

@@ -252,3 +252,11 @@ def test_chains_side_by_side_are_decoded_as_one_by_one(monkeypatch):
     monkeypatch.setattr(decode, "BLOCK", 50)
     ends = np.cumsum(sizes)
     assert (decode.chains(e, sizes) == np.concatenate([decode.posteriors(e[z - n : z]) for z, n in zip(ends, sizes, strict=True) if n])).all()
+
+
+def test_counts_by_pieces_are_counts_of_tokens(spark):
+    rows = [(1, ["x"], "L’ami, l’ami! a.b"), (1, ["x"], "x@y.z, a.b"), (None, None, "a.b www.a.b"), (2, [], None)]
+    docs = spark.createDataFrame(rows, "g int, h array<string>, text string")
+    want = tx.token_kinds(docs, "text", "g", "h").groupBy("g", "h", "text", "kind").agg(F.count("*").alias("n"))
+    got = tx.token_counts(docs, "text", "g", "h")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
